@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, license_scan, token_counts
+from . import decontaminate, exact_dedup, jaccard_join, language_id, license_scan, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.selectExpr("doc_id", "n_hits > 0 AS contaminated", "n_hits", "hits.item_id AS item_ids", "hits")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licences(documents(spark, sf_dir))
     return found.selectExpr("doc_id", "array_join(licences, ',') AS licences", "array_join(sentence_ids, ',') AS sentence_ids", "size(sentence_ids) AS n_known")
@@ -39,6 +44,7 @@ def queries() -> dict:
         "op2_exact_dedup": op2_exact_dedup,
         "op6_language_id": op6_language_id,
         "op7_token_counts": op7_token_counts,
+        "op9_decontaminate": op9_decontaminate,
         "op10_license_scan": op10_license_scan,
     }
 
