@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, license_scan, token_counts
+from . import decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(documents(spark, sf_dir))
+    return kept.selectExpr("doc_id", "n_lines", "n_removed", "length(text) AS kept_chars", "sha2(text, 256) AS kept_sha256")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -42,6 +47,7 @@ def queries() -> dict:
     return {
         "op1_jaccard_join": op1_jaccard_join,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_line_dedup": op3_line_dedup,
         "op6_language_id": op6_language_id,
         "op7_token_counts": op7_token_counts,
         "op9_decontaminate": op9_decontaminate,
