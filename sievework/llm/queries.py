@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, token_counts
+from . import decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, quality, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.selectExpr("doc_id", "n_lines", "n_removed", "length(text) AS kept_chars", "sha2(text, 256) AS kept_sha256")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -48,6 +57,8 @@ def queries() -> dict:
         "op1_jaccard_join": op1_jaccard_join,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_line_dedup": op3_line_dedup,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_source_mixing": op5_source_mixing,
         "op6_language_id": op6_language_id,
         "op7_token_counts": op7_token_counts,
         "op9_decontaminate": op9_decontaminate,
