@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, quality, token_counts
+from . import decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, quality, suffix_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), keep_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.selectExpr("doc_id", "n_hits > 0 AS contaminated", "n_hits", "hits.item_id AS item_ids", "hits")
@@ -61,6 +65,7 @@ def queries() -> dict:
         "op5_source_mixing": op5_source_mixing,
         "op6_language_id": op6_language_id,
         "op7_token_counts": op7_token_counts,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_decontaminate": op9_decontaminate,
         "op10_license_scan": op10_license_scan,
     }
