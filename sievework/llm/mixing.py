@@ -136,7 +136,10 @@ def _plan(narrow: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
 
 
 def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The rows of docs with size, source_size, target, taken, copies and draws (array of shard and place)."""
+    """The rows of docs with size, source_size, target, taken, copies and draws (array of shard and place).
+
+    A column of docs that has one of these names comes back with `_in` behind it.
+    """
     names = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text", "source") else f"c{i}") for i, c in enumerate(names)])
     narrow = materialise(_sized(own).select("source", F.col("__size").alias("size"), F.col("__hash").alias("hash")), "sizes")
@@ -150,7 +153,8 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     draw = lambda shard, n: F.struct(F.col(shard).alias("shard"), place(n).alias("place"))
     draws = F.filter(F.array(F.when(F.col("base") > 0, draw("shard_1", 1)), F.when(extra, draw("shard_2", 2))), lambda x: x.isNotNull())
     copies = F.col("base") + extra.cast("int")
-    kept = [F.col(c if c in ("doc_id", "text", "source") else f"c{i}").alias(c) for i, c in enumerate(names)]
+    given = ("size", "source_size", "target", "taken", "copies", "draws")
+    kept = [F.col(c if c in ("doc_id", "text", "source") else f"c{i}").alias(f"{c}_in" if c in given else c) for i, c in enumerate(names)]
     new = [F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * copies).alias("taken"), copies.alias("copies"), draws.alias("draws")]
     return rows.select(*kept, *new)
 

@@ -21,7 +21,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.line_dedup(documents(spark, sf_dir))
+    kept = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.selectExpr("doc_id", "n_lines", "n_removed", "length(text) AS kept_chars", "sha2(text, 256) AS kept_sha256")
 
 
