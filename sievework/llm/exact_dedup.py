@@ -43,5 +43,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     plain = rows.select("doc_id", "text_sha256", F.size("recipe").alias("n_chunks"), "recipe", clashes.alias("clashes"))
     ids = F.transform("recipe", lambda c: F.struct(c["weak"], c["size"], F.when(F.array_contains("clashes", c["weak"]), c["strong"]).otherwise(F.lit(b"")).alias("strong")))
     lists = plain.select("doc_id", "text_sha256", "n_chunks", ids.alias("ids")).withColumn("mark", F.xxhash64("ids"))
-    groups = lists.groupBy("mark", "ids").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written out, so that the join deals both sides anew and can split a list with very many copies
+    groups = materialise(lists.groupBy("mark", "ids").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return lists.join(groups, ["mark", "ids"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chunks")
