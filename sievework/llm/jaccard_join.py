@@ -8,8 +8,10 @@ greatest possible overlap is too small or when all its members already are in on
 whole token sets. Links found are a spanning forest of each block's links, so no group emits all its pairs.
 
 Two rounds keep this linear for large groups of near copies. Round 1 sends each class to one block, the smallest hash
-of its shared prefix tokens, cut into chunks. Round 2 takes every block that still spans two components; cells pair its
+of its shared prefix tokens, cut into chunks; some members of the components that this leaves in a block meet again. Round 2 takes every block that still spans two components; cells pair its
 largest component's chunks with the rest's, and the rest's with each other, so no link between components is missed.
+Round 2's first trees hold signatures alone: only members that they leave in a pair between components, in the first
+block that the pair shares, bring their whole sets to a second tree.
 
 Defined cases: A-Z are lowered; texts of fewer words than a shingle are one sequence; null and wordless texts have the
 empty set and link with nothing, not even each other; repeated rows are copies; component_id is the smallest non-null
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, connected_components, materialise
+from .common import checked_broadcast, connected_components, if_small, materialise
 from .textvec import U, mix, pieces, shingle_rows
 
 #: Sketch of token frequencies; a byte for each bucket is broadcast.
@@ -34,6 +36,8 @@ SKETCH = 1 << 20
 COUNTED = 2 << 20
 #: Members of one tree at most, and fan-out of its nodes.
 CHUNK, FAN = 256, 8
+#: Members of a component that meet those of others in a large block, and how often at most.
+SPEAKERS, MEETINGS = 8, 8
 MAX_BITS = 1 << 14
 NO_ID = -(1 << 63)
 
@@ -127,7 +131,7 @@ def _postings(held, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = held.value, set()
         for batch in batches:
-            tokens_out, keys_out = [], []
+            tokens_out, keys_out, sizes_out = [], [], []
             for tokens in _sets(batch.column(0)):
                 if not len(tokens) or (key := set_key(tokens)) in seen:
                     continue
@@ -136,30 +140,42 @@ def _postings(held, percent: int) -> Callable:
                 want = prefix_length(len(tokens), percent)
                 tokens_out.append(tokens[np.argpartition(rank, want - 1)[:want]] if want < len(tokens) else tokens)
                 keys_out.append(np.full(want, short_key(key)))
+                sizes_out.append(np.full(want, len(tokens)))
             if tokens_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens_out).view(np.int64)), pa.array(np.concatenate(keys_out).astype(np.int64))], ["token", "short"])
+                columns = [np.concatenate(tokens_out).view(np.int64), np.concatenate(sizes_out), np.concatenate(keys_out).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "n", "short"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, short): each distinct pair whose token has two shorts or more."""
-    last: tuple[int, int] | None = None  # not yet given out
-    joined = False  # the one before `last` has its token
-    for batch in batches:
-        token, short = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last is not None:
-            token, short = np.r_[last[0], token], np.r_[last[1], short]
-        if not len(token):
-            continue
-        new = np.r_[True, (token[1:] != token[:-1]) | (short[1:] != short[:-1])]
-        token, short = token[new], short[new]
-        same = token[1:] == token[:-1]
-        keep = np.r_[joined if last is not None else False, same] | np.r_[same, False]
-        last, joined = (token[-1], short[-1]), bool(same[-1]) if len(same) else joined and last is not None
-        yield pa.RecordBatch.from_arrays([pa.array(token[:-1][keep[:-1]]), pa.array(short[:-1][keep[:-1]])], ["token", "short"])
-    if last is not None and joined:
-        yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["token", "short"])
+def _shared(percent: int) -> Callable:
+    """Of rows sorted by (token, n, short): each distinct one with a neighbour of its token of a size that may link.
+
+    In order of size, whatever may link has a next neighbour that may.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # not yet given out
+        joined = False  # it may link with the one before
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(3)]
+            if last is not None:
+                columns = [np.r_[x, c] for x, c in zip(last, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            token, n, short = columns
+            new = np.r_[True, (token[1:] != token[:-1]) | (short[1:] != short[:-1])]
+            token, n, short = token[new], n[new], short[new]
+            near = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            keep = np.r_[joined if last is not None else False, near] | np.r_[near, False]
+            joined = bool(near[-1]) if len(near) else joined and last is not None
+            last = token[-1], n[-1], short[-1]
+            keep[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(short[keep])], ["token", "short"])
+        if last is not None and joined:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[2]], pa.int64())], ["token", "short"])
+
+    return run
 
 
 def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +184,10 @@ def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sets = [], []
         for want, tokens in zip(batch.column(0).to_pylist(), _sets(batch.column(1)), strict=True):
             if set_key(tokens) == want:
-                keys.append(want), sets.append(tokens.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([short_key(k) for k in keys], pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["short", "key", "tokens"])
+                keys.append(want), sets.append(tokens)
+        columns = [pa.array([short_key(k) for k in keys], pa.int64()), pa.array(keys, pa.binary()), pa.array([len(t) for t in sets], pa.int64())]
+        columns += [pa.array([signature(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["short", "key", "n", "signature", "tokens"])
 
 
 class Forest:
@@ -195,42 +213,50 @@ class Forest:
         return all(self.find(i) == root for i in range(a.start, a.stop)) and (a == b or all(self.find(i) == root for i in range(b.start, b.stop)))
 
 
-def tree_links(sets: list[np.ndarray], groups: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join components of sets; members with the same group are already joined."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), sets[i][0]))
-    sets, forest = [sets[i] for i in order], Forest(groups[order])
-    size = np.array([len(s) for s in sets])
-    bits = min(MAX_BITS, 1 << max(6, int(4 * size[-1]).bit_length()))
-    maps = np.zeros((len(sets), bits), bool)
-    maps[np.repeat(np.arange(len(sets)), size), (mix(np.concatenate(sets)) & U(bits - 1)).astype(np.int64)] = True
-    maps = np.packbits(maps, axis=1).view(np.uint64)
-    spare = size - np.bitwise_count(maps).sum(1)
-    # levels from the leaves up: bitmap, least and greatest size, greatest spare, members below
-    levels = [(maps, size, size, spare, [slice(i, i + 1) for i in range(len(sets))])]
+def signature(tokens: np.ndarray) -> bytes:
+    """Bitmap of a set, two to four bits for each token within bounds; halves OR-combined give the smaller bitmap."""
+    bits = min(MAX_BITS, 1 << max(6, int(2 * len(tokens)).bit_length()))
+    out = np.zeros(bits, bool)
+    out[(mix(tokens) & U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def traverse(sizes: list[int], signatures: list[bytes], percent: int, settled: Callable, visit: Callable) -> None:
+    """Dual traversal of a signature tree over sets in order of size: visit(a, b), arrays of pairs of sets that may link.
+
+    settled(a, b) tells that no pair of the ranges a and b of sets is of interest.
+    """
+    size = np.array(sizes)
+    widths = np.array([len(s) for s in signatures])
+    bits = int(widths.max())
+    # a smaller bitmap is repeated: that can only add common bits
+    maps = np.frombuffer(b"".join(s * (bits // len(s)) for s in signatures), np.uint64).reshape(len(signatures), -1)
+    times = bits // widths
+    own = np.bitwise_count(maps).sum(1) // times
+    # levels from the leaves up: bitmap, least and greatest size, most tokens that share bits, members below
+    levels = [(maps, size, size, size - own, [slice(i, i + 1) for i in range(len(size))])]
     while len(levels[-1][1]) > 1:
-        m, low, high, sp, spans = levels[-1]
+        m, low, high, spare, spans = levels[-1]
         at = np.arange(0, len(low), FAN)
         up = [slice(spans[a].start, spans[min(a + FAN, len(low)) - 1].stop) for a in at]
-        levels.append((np.bitwise_or.reduceat(m, at, 0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(sp, at), up))
-    links: list[tuple[int, int]] = []
+        levels.append((np.bitwise_or.reduceat(m, at, 0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(spare, at), up))
 
     def possible(depth: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        m, low, high, sp, _ = levels[depth]
-        need = (low[a] + low[b]) * percent // (100 + percent)  # at least this, rounded down
-        most = np.bitwise_count(m[a] & m[b]).sum(1) + np.minimum(sp[a], sp[b])
+        m, low, high, spare, _ = levels[depth]
         fits = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
-        return fits & (most >= need)
-
-    stack = [(len(levels) - 1, 0, 0)]
+        if depth:
+            most = np.bitwise_count(m[a] & m[b]).sum(1) + np.minimum(spare[a], spare[b])
+            return fits & ((100 + percent) * most >= percent * (low[a] + low[b]))
+        # each bit of one set that the other, in a bitmap no finer, lacks is a token that it lacks
+        lacks_a = np.where(times[a] <= times[b], np.bitwise_count(m[a] & ~m[b]).sum(1) // times[a], 0)
+        lacks_b = np.where(times[b] <= times[a], np.bitwise_count(m[b] & ~m[a]).sum(1) // times[b], 0)
+        return fits & ((100 + percent) * np.minimum(size[a] - lacks_a, size[b] - lacks_b) >= percent * (size[a] + size[b]))
+
+    stack = [(len(levels) - 1, 0, 0)] if len(size) > 1 else []
     while stack:
         depth, i, j = stack.pop()
         spans = levels[depth][4]
-        if forest.one(spans[i], spans[j]):
-            continue
-        if depth == 0:
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (size[i] + size[j] - common) and forest.join(i, j):
-                links.append((order[i], order[j]))
+        if settled(spans[i], spans[j]):
             continue
         n = len(levels[depth - 1][1])
         left, right = np.arange(i * FAN, min(n, i * FAN + FAN)), np.arange(j * FAN, min(n, j * FAN + FAN))
@@ -238,57 +264,156 @@ def tree_links(sets: list[np.ndarray], groups: np.ndarray, percent: int) -> list
         ok = (a < b) | ((a == b) & (depth > 1))
         a, b = a[ok], b[ok]
         ok = possible(depth - 1, a, b)
-        stack += [(depth - 1, int(x), int(y)) for x, y in zip(a[ok], b[ok], strict=True)]
+        if depth == 1:
+            visit(a[ok], b[ok])
+        else:
+            stack += [(depth - 1, int(x), int(y)) for x, y in zip(a[ok], b[ok], strict=True)]
+
+
+def is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def tree_links(sets: list[np.ndarray], groups: list, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets; those of one group are already joined."""
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), sets[i][0]))
+    sets, forest, links = [sets[i] for i in order], Forest(np.array([groups[i] for i in order])), []
+
+    def visit(a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if forest.find(i) != forest.find(j) and is_link(sets[i], sets[j], percent):
+                forest.join(i, j)
+                links.append((order[i], order[j]))
+
+    traverse([len(s) for s in sets], [signature(s) for s in sets], percent, forest.one, visit)
     return links
 
 
-def _block_links(percent: int) -> Callable:
-    """Over rows (block, cell, key, comp, tokens) sorted by block and cell: links as pairs of keys."""
+def tree_candidates(sizes: list[int], signatures: list[bytes], groups: list[int], percent: int, wanted: Callable) -> set[int]:
+    """Sets that may link with one of another group, of the pairs for which wanted(i, j)."""
+    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], groups[i]))
+    group, found = np.array([groups[i] for i in order]), set()
+
+    def settled(a: slice, b: slice) -> bool:
+        return bool((group[a] == group[a.start]).all() and (group[b] == group[a.start]).all())
+
+    def visit(a: np.ndarray, b: np.ndarray) -> None:
+        other = group[a] != group[b]
+        for i, j in zip(a[other].tolist(), b[other].tolist(), strict=True):
+            x, y = order[i], order[j]
+            if not (x in found and y in found) and wanted(x, y):
+                found.update((x, y))
+
+    traverse([sizes[i] for i in order], [signatures[i] for i in order], percent, settled, visit)
+    return found
 
-    def links(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        rows = list({r[1]: r for r in rows}.values())  # repeated rows give a class twice
-        if len(rows) < 2:
-            return []
-        found = tree_links([np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[2] for r in rows]), percent)
-        return [(rows[a][1], rows[b][1]) for a, b in found]
+
+def _by_block(width: int, solve: Callable, give: Callable) -> Callable:
+    """mapInArrow function over rows sorted by their first two columns: give(solve(rows)) of each run, rows as tuples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
-            block, cell, key, comp = (batch.column(i).to_pylist() for i in range(4))
-            for at, (b, c, k, g) in enumerate(zip(block, cell, key, comp, strict=True)):
-                if (b, c) != now:
-                    out += links(rows)
-                    now, rows = (b, c), []
-                rows.append((b, k, g, batch.column(4)[at].as_py()))
-            yield _edges(out)
-        yield _edges(links(rows))
+            out: list[tuple] = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True):
+                if row[:2] != now:
+                    out += solve(rows)
+                    now, rows = row[:2], []
+                rows.append(row)
+            yield give(out)
+        yield give(solve(rows))
 
     return run
 
 
-def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
+def _rows_of(schema: pa.Schema) -> Callable:
+    return lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
 
+_LINK = _rows_of(pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+_MEMBER = _rows_of(pa.schema([("block", pa.int64()), ("cell", pa.int64()), ("short", pa.int64()), ("comp", pa.int64())]))
 
-def _links_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members (block, cell, short, comp) -> links (a, b) between keys."""
-    rows = members.join(sets, "short").select("block", "cell", "key", F.coalesce("comp", "short").alias("comp"), "tokens")
-    return rows.repartition("block", "cell").sortWithinPartitions("block", "cell").mapInArrow(_block_links(percent), "a binary, b binary")
 
+def _forest_of(percent: int) -> Callable:
+    """Rows (block, cell, key, comp, tokens); a null comp is a group of its own."""
 
-def _round_one(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    def solve(rows: list[tuple]) -> list[tuple]:
+        rows = list({r[2]: r for r in rows}.values())  # repeated rows give a class twice
+        if len(rows) < 2:
+            return []
+        groups: dict = {}
+        numbers = [groups.setdefault(r[2] if r[3] is None else r[3], len(groups)) for r in rows]
+        found = tree_links([np.frombuffer(r[4], np.uint64) for r in rows], numbers, percent)
+        return [(rows[a][2], rows[b][2]) for a, b in found]
+
+    return solve
+
+
+def _candidates_of(percent: int) -> Callable:
+    """Rows (block, cell, short, comp, n, signature, blocks) -> those in pairs whose first common block this is."""
+
+    def solve(rows: list[tuple]) -> list[tuple]:
+        rows = list({(r[2], r[4]): r for r in rows}.values())
+        if len(rows) < 2:
+            return []
+        blocks = [frozenset(r[6]) for r in rows]
+        first = lambda i, j: min(blocks[i] & blocks[j]) == rows[0][0]
+        found = tree_candidates([r[4] for r in rows], [r[5] for r in rows], [r[3] for r in rows], percent, first)
+        return [rows[i][:4] for i in found]
+
+    return solve
+
+
+def _cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between keys: a spanning forest of each cell of members (block, cell, short, comp), a written table."""
+    rows = sets.join(if_small(members, 40), "short").select("block", "cell", "key", "comp", "tokens")
+    rows = rows.repartition("block", "cell").sortWithinPartitions("block", "cell")
+    return rows.mapInArrow(_by_block(5, _forest_of(percent), _LINK), "a binary, b binary")
+
+
+def _groups(comps: DataFrame, classes: DataFrame) -> DataFrame:
+    """short, comp: the component of each class in one, as a number."""
+    return comps.join(classes, comps["node"] == classes["key"]).groupBy("short").agg(F.min(F.xxhash64("comp")).alias("comp"))
+
+
+def _stars(comps: DataFrame) -> DataFrame:
+    return comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b")
+
+
+def _round_one(shared: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Components (node, comp) by the links of each class's one block.
+
+    A block of over CHUNK members is several cells. While these leave components apart, some members of each component
+    meet in cells again; whether they link or not, round 2 sees every pair of components that is left.
+    """
     home = shared.groupBy("short").agg(F.min(F.struct(F.xxhash64("token").alias("h"), "token")).alias("m")).select("short", F.col("m.token").alias("block"))
-    count = home.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    count = materialise(home.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"), "count")
     cell = F.pmod(F.xxhash64("short"), F.ceil(F.col("n") / CHUNK)).cast("long")
-    members = home.join(count, "block").select("block", cell.alias("cell"), "short", F.lit(None).cast("long").alias("comp"))
-    return _links_of(members, sets, percent)
+    alone = F.lit(None).cast("long").alias("comp")
+    members = materialise(home.join(count, "block").select("block", cell.alias("cell"), "short", alone, "n"), "members")
+    comps = connected_components(materialise(_cell_links(members, sets, percent), "links"))
+    large = members.where(F.col("n") > CHUNK).select("block", "short")
+    if large.isEmpty():
+        return comps
+    large = materialise(large, "large")
+    sets = materialise(sets.join(if_small(large.select("short"), 24), "short", "left_semi"), "large")
+    for again in range(MEETINGS):
+        rows = large.join(_groups(comps, classes), "short")
+        few = rows.withColumn("at", F.row_number().over(Window.partitionBy("block", "comp").orderBy(F.xxhash64("short", F.lit(again))))).where(F.col("at") <= SPEAKERS)
+        few = materialise(few.select("block", "comp", "short"), "speakers")
+        apart = few.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high").select("block", "n")
+        met = few.join(if_small(materialise(apart, "apart"), 32), "block").select("block", F.pmod(F.xxhash64("comp", F.lit(again)), F.ceil(F.col("n") / CHUNK)).cast("long").alias("cell"), "short", "comp")
+        found = materialise(_cell_links(materialise(met, "met"), sets, percent), "links")
+        before = comps.select("comp").distinct().count()
+        comps = connected_components(_stars(comps).unionByName(found))
+        if comps.select("comp").distinct().count() == before:
+            break
+    return comps
 
 
 def _round_two(shared: DataFrame, sets: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    comp = comps.join(classes, comps["node"] == classes["key"]).groupBy("short").agg(F.min(F.xxhash64("comp")).alias("comp"))
-    rows = shared.join(comp, "short", "left").select("token", "short", F.coalesce("comp", "short").alias("comp"))
+    rows = shared.join(_groups(comps, classes), "short", "left").select("token", "short", F.coalesce("comp", "short").alias("comp"))
     rows = materialise(rows, "spanning")
     each = rows.groupBy("token", "comp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("short")).alias("x"), F.bit_xor(F.xxhash64("short", F.lit(1))).alias("y"))
     block = each.groupBy("token").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1")
@@ -302,8 +427,14 @@ def _round_two(shared: DataFrame, sets: DataFrame, classes: DataFrame, comps: Da
     all_cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rest") + F.col("mains") - 1), lambda j: F.least(j, "own") * (F.col("rest") + F.col("mains")) + F.greatest(j, "own"))
     main_cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1), lambda i: i * (F.col("rest") + F.col("mains")) + F.col("own"))
     cells = F.when(F.col("n") <= 2 * CHUNK, F.array(F.lit(-1).cast("long"))).when(F.col("comp") == F.col("main"), main_cells).otherwise(all_cells)
-    members = m.select(F.col("token").alias("block"), F.explode(cells).alias("cell"), "short", "comp")
-    return _links_of(members, sets, percent)
+    m = materialise(m.select(F.col("token").alias("block"), "short", "comp", cells.alias("cells")), "blocks")
+    listed = m.groupBy("short").agg(F.collect_list("block").alias("blocks"))  # at most a set's prefix
+    known = sets.select("short", "n", "signature").join(listed, "short")
+    members = m.select("block", F.explode("cells").alias("cell"), "short", "comp")
+    rows = members.join(known, "short").select("block", "cell", "short", "comp", "n", "signature", "blocks")
+    rows = rows.repartition("block", "cell").sortWithinPartitions("block", "cell")
+    active = rows.mapInArrow(_by_block(7, _candidates_of(percent), _MEMBER), "block long, cell long, short long, comp long")
+    return _cell_links(materialise(active, "active"), sets, percent)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -315,22 +446,21 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     levels = frequency_levels(features)
     held = checked_broadcast(docs.sparkSession, levels, levels.nbytes, "the token sketch")
 
-    postings = docs.select("text").mapInArrow(_postings(held, percent), "token long, short long")
-    shared = materialise(postings.repartition("token").sortWithinPartitions("token", "short").mapInArrow(_shared, "token long, short long"), "shared")
+    postings = docs.select("text").mapInArrow(_postings(held, percent), "token long, n long, short long")
+    shared = materialise(postings.repartition("token").sortWithinPartitions("token", "n", "short").mapInArrow(_shared(percent), "token long, short long"), "shared")
 
     classes = rows.where("n_shingles > 0").groupBy("key", "short").agg(F.min("doc_id").alias("first_id"))
     wanted = classes.join(shared.select("short").distinct(), "short").select(F.coalesce("first_id", F.lit(NO_ID)).alias("id"), "key")
     texts = pairs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(wanted.hint("shuffle_hash"), "id").select("key", "text")
-    sets = materialise(texts.mapInArrow(_class_sets, "short long, key binary, tokens binary"), "sets")
+    sets = materialise(texts.mapInArrow(_class_sets, "short long, key binary, n long, signature binary, tokens binary"), "sets")
 
-    first = materialise(_round_one(shared, sets, percent), "links")
-    comps = connected_components(first)
+    comps = _round_one(shared, sets, classes, percent)
     second = materialise(_round_two(shared, sets, classes, comps, percent), "links")
-    stars = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b")
-    comps = connected_components(stars.unionByName(second))
+    comps = connected_components(_stars(comps).unionByName(second))
 
     named = classes.join(comps, classes["key"] == comps["node"], "left").select("key", "first_id", F.coalesce("comp", "key").alias("comp"))
-    lowest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+    named = materialise(named, "named")
+    lowest = materialise(named.groupBy("comp").agg(F.min("first_id").alias("component_id")), "lowest")
     by_class = named.join(lowest, "comp").select("key", "component_id")
     full = rows.where("n_shingles > 0").join(by_class, "key").select("doc_id", "n_shingles", "component_id", F.hex("key").alias("class_key"))
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("class_key"))
