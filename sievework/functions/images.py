@@ -128,3 +128,13 @@ def _facts(head: pd.Series) -> pd.DataFrame:
 def header_facts(head: Column) -> Column:
     """Struct of width, height, original and changed (EXIF times as written) from a file's first bytes."""
     return F.pandas_udf(_facts, "width int, height int, original string, changed string")(head)
+
+
+def contact_sheet(pictures: list[np.ndarray], columns: int = 2, side: int = 300) -> np.ndarray:
+    """Gray pictures, each shrunk to a square cell, in rows of `columns`; empty cells are black."""
+    rows = -(-len(pictures) // columns)
+    sheet = np.zeros((rows * side, columns * side))
+    for i, picture in enumerate(pictures):
+        top, left = i // columns * side, i % columns * side
+        sheet[top : top + side, left : left + side] = shrink(picture, side)
+    return sheet

@@ -33,6 +33,10 @@ def matches(rows: DataFrame, threshold: float = DEFAULT.person_similarity) -> Da
     return rows.withColumn("found", F.array_sort(found, order))
 
 
+def _without(found: Column, label: Column) -> Column:
+    return F.filter(found, lambda s: s["label"] != label)
+
+
 def resolve_confusions(rows: DataFrame, exclusive: list[tuple]) -> DataFrame:
     """rows of matches(): of two labels that exclude each other only the better stays, and `warned` tells so."""
     labels = lambda found: F.transform(found, lambda s: s["label"])
@@ -41,7 +45,7 @@ def resolve_confusions(rows: DataFrame, exclusive: list[tuple]) -> DataFrame:
         both = F.array_contains(labels(found), F.lit(a)) & F.array_contains(labels(found), F.lit(b))
         at_a, at_b = F.array_position(labels(found), F.lit(a)), F.array_position(labels(found), F.lit(b))
         loser = F.when(at_a < at_b, F.lit(b)).otherwise(F.lit(a))
-        found = F.when(both, F.filter(found, lambda s, loser=loser: s["label"] != loser)).otherwise(found)
+        found = F.when(both, _without(found, loser)).otherwise(found)
         warned = warned | both
     return rows.withColumn("warned", warned).withColumn("found", found)
 

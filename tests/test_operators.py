@@ -205,3 +205,28 @@ def test_global_index(spark):
     frame = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     got = dedup.global_index(frame, "i", "x").collect()
     assert all(r.i == r.x for r in got) and len(got) == 1000
+
+
+def test_enrichment(spark):
+    from sievework.operators import enrich
+
+    records = spark.createDataFrame([("a", "pass", "surviving", 60, 40), ("b", "soft_blur", "soft_blur_surviving", 60, 40), ("c", "pass", "rejected_duplicate", 60, 40), ("d", "pass", "surviving", 40, 40)], "path string, blur_tier string, status string, width int, height int")
+    persons = spark.createDataFrame([("ann", [1.0, 0.0], ["s"]), ("bob", [0.9, 0.1], ["s"])], "name string, embedding array<double>, sources array<string>")
+    face = lambda e, smile=0.2, eyes=2: {"x": 1, "y": 2, "w": 3, "h": 4, "embedding": e, "smile": smile, "eyes": eyes}
+    known = {b"a": [face([1.0, 0.0], 0.9), face([0.0, 1.0], 0.1, 1)], b"b": [], b"c": [face([1.0, 0.0])]}
+    content = spark.createDataFrame([(x, bytearray(x.encode())) for x in "abcd"], "path string, content binary")
+    faces = enrich.detect(content, lambda: lambda data: known[data])
+    rows = {r.path: r for r in enrich.enriched(records, faces, persons, [("ann", "bob")], ["ann"]).collect()}
+    a = rows["a"]
+    assert (a.faces_detected, a.persons_matched, a.confusion_warning, a.shot_type, a.max_smile_score, a.has_closed_eyes, a.has_ann) == (2, ["ann"], True, ["couple"], 0.9, True, True)
+    assert (rows["b"].faces_detected, rows["b"].shot_type, rows["b"].primary_shot_type) == (0, ["candid", "venue"], "candid")
+    assert (rows["c"].faces_detected, rows["c"].persons_matched, rows["c"].face_bboxes) == (0, [], None)
+    assert rows["d"].faces_detected is None and rows["d"].shot_type == ["unknown"]
+    again = enrich.resumed(content, faces, lambda: lambda data: [])
+    assert {r.path: len(r.faces) for r in again.where("NOT failed").collect()} == {"a": 2, "b": 0, "c": 1, "d": 0}
+    assert not enrich.matching_enabled(["me"], "me") and enrich.matching_enabled(["me", "x"], "me")
+    prompts = spark.createDataFrame([(0, "Birthday Party", [1.0, 0.0]), (1, "beach", [0.0, 1.0]), (2, "x", [-1.0, 0.0])], "idx int, label string, embedding array<float>")
+    pictures = spark.createDataFrame([("a", [3.0, 1.0])], "path string, embedding array<float>")
+    tags = {r.path: r.clip_event_tags for r in enrich.with_event_tags(records, pictures, prompts).collect()}
+    assert tags == {"a": ["birthday_party", "beach"], "b": [], "c": [], "d": []}
+    assert [r.match for r in enrich.verify(pictures, persons, "ann").collect()] == [True]
