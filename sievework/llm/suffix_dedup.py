@@ -12,8 +12,9 @@ behind their groups, and then emitting each group in order through the same poin
 suffix's longest match with an earlier occurrence is with its nearest neighbours of earlier place in the array; where it
 has WINDOW bytes, its bytes are repeated.
 
-An anchor with more than HOT segments is not sent to one task: its windows are keyed by their own content, reduced to
-the earliest within each task and then over all.
+An anchor with more than HOT segments is not sent to one task: its windows are dealt anew by a longer anchor, the bytes
+before or behind it included, and where that still has more than HOT segments, by their own content, reduced to the
+earliest within each task and then over all.
 
 Order is by (doc_id, text digest), null ids last. Defined cases: null is the empty text; texts under WINDOW bytes lose
 nothing; of equal texts all but the earliest lose all (from WINDOW bytes on); rows equal in id and text fare alike; an
@@ -31,16 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import BROADCAST_BYTES, materialise
 from .line_dedup import LAST_ID
-from .textvec import _BYTES, U, _powers, mix, pieces
+from .textvec import _BYTES, U, mix, pieces, powers
 
 WINDOW, K = 100, 28
 SPAN = WINDOW - K + 1  # K-grams of a window
+SIDE = (WINDOW - K) // 2 + 1  # bytes that a longer anchor has more
 LEFT, RIGHT = WINDOW - K, WINDOW  # bytes of a segment before its anchor, and from there on, at most
 HOT = 20_000
+#: Occurrences in one batch from which on a gram is known to be shared and its rows need not meet.
+FREQUENT = 256
 BATCH = 8192
-PLACE = 23  # bits of a place in a piece; longer texts are one piece cut into overlapping stretches
+PLACE = 22  # bits of a place in a piece; longer texts are one piece cut into overlapping stretches
 
 
 # --- suffix array -------------------------------------------------------------------------------------------------
@@ -172,7 +176,7 @@ def _anchor_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     none = np.zeros(0, np.int64)
     if len(data) < WINDOW:
         return none, none.astype(np.uint64), none, none, none
-    up, down = _powers(1 << max(12, int(len(data)).bit_length()))
+    up, down = powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
     grams = mix((total[K:] - total[:-K]) * down[: len(data) - K + 1])
@@ -218,7 +222,10 @@ def class_number(digest: bytes) -> int:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, class, spot): spot packs the anchor's place, its distance to the first window and the run of windows."""
+    """(gram, class, spot, known): spot packs the anchor's place, its distance to the first window and the run of windows.
+
+    known: the gram is frequent in this batch. Two of its rows are given a second time as not known, for other tasks.
+    """
     seen: set[int] = set()
     for batch in batches:
         column = batch.column(0).fill_null("")
@@ -230,54 +237,87 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers.append(number)
         column = column.filter(pa.array(fresh, pa.bool_()))
         numbers = np.array(numbers, np.int64)[np.array(fresh, bool)]
-        for row, gram, anchor, start, last in anchors_of(column):
-            spot = anchor << 14 | (anchor - start) << 7 | (last - start)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(numbers[row]), pa.array(spot)], ["gram", "class", "spot"])
+        parts = [(gram.view(np.int64), numbers[row], anchor << 14 | (anchor - start) << 7 | (last - start)) for row, gram, anchor, start, last in anchors_of(column)]
+        if not parts:
+            continue
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        _, first, place, count = np.unique(columns[0], return_index=True, return_inverse=True, return_counts=True)
+        known = count[place] >= FREQUENT
+        often = count >= FREQUENT
+        rest = np.flatnonzero(known)
+        rest = rest[~np.isin(rest, first[often])]
+        _, second = np.unique(columns[0][rest], return_index=True)
+        again = np.concatenate([first[often], rest[second]])
+        columns = [np.concatenate([c, c[again]]) for c in columns]
+        known = np.concatenate([known, np.zeros(len(again), bool)])
+        yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.array(known)], ["gram", "class", "spot", "known"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (gram, class, spot): each distinct one whose gram has two or more."""
+    """Of rows sorted by (gram, class, spot): each distinct one whose gram is known or has two or more."""
+    names = ["gram", "class", "spot"]
     last: tuple | None = None
     joined = False
     for batch in batches:
-        columns = [batch.column(i).to_numpy() for i in range(3)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         if last is not None:
             columns = [np.r_[x, c] for x, c in zip(last, columns, strict=True)]
         if not len(columns[0]):
             continue
-        gram, number, spot = columns
+        gram, number, spot, known = columns
         new = np.r_[True, (gram[1:] != gram[:-1]) | (number[1:] != number[:-1]) | (spot[1:] != spot[:-1])]
+        known = np.logical_or.reduceat(known.astype(bool), np.flatnonzero(new))
         gram, number, spot = gram[new], number[new], spot[new]
         same = gram[1:] == gram[:-1]
-        keep = np.r_[joined if last is not None else False, same] | np.r_[same, False]
+        keep = known | np.r_[joined if last is not None else False, same] | np.r_[same, False]
         joined = bool(same[-1]) if len(same) else joined and last is not None
-        last = gram[-1], number[-1], spot[-1]
+        last = gram[-1], number[-1], spot[-1], known[-1]
         keep[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, number, spot)], ["gram", "class", "spot"])
-    if last is not None and joined:
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last], ["gram", "class", "spot"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, number, spot)], names)
+    if last is not None and (joined or last[3]):
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last[:3]], names)
 
 
 SEGMENT = "gram long, ord long, class long, start long, lead int, bytes binary"
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (ord, class, packed text, spots): the bytes of all windows of each anchor."""
+def _cuts(data: bytes, gram: int, start: int, lead: int, run: int, longer: bool) -> Iterator[tuple[int, int, int, int]]:
+    """(key, start, lead, run) of an anchor's windows; longer: by the bytes before or behind the anchor as well.
+
+    A window that begins SIDE bytes before the anchor or earlier has these bytes; any other has as many behind it.
+    """
+    if not longer:
+        yield gram, start, lead, run
+        return
+    anchor = start + lead
+    before = min(run + 1, max(0, lead - SIDE + 1))  # windows that begin early enough
+    for first, count, a, b in ((0, before, anchor - SIDE, anchor + K), (before, run + 1 - before, anchor, anchor + K + SIDE - 1)):
+        if count:
+            key = hashlib.blake2b(data[a:b], digest_size=8, person=b"left" if first == 0 and before else b"right").digest()
+            yield int.from_bytes(key, "big", signed=True), start + first, lead - first, count - 1
+
+
+def _segments(longer: bool) -> Callable:
+    """From (ord, class, packed text, size, spots): the bytes of all windows of each anchor."""
     names = ["gram", "ord", "class", "start", "lead", "bytes"]
-    for batch in batches:
-        columns: list[list] = [[] for _ in names]
-        for ord_, number, packed, size, spots in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            data = pa.decompress(packed, size, codec="zstd", asbytes=True) if size else b""
-            for s in spots:
-                spot, gram = s["spot"], s["gram"]
-                lead, run = spot >> 7 & 127, spot & 127
-                start = (spot >> 14) - lead
-                for column, value in zip(columns, (gram, ord_, number, start, lead, data[start : start + run + WINDOW]), strict=True):
-                    column.append(value)
-            if len(columns[0]) >= BATCH:
-                yield _segment_batch(columns, names)
-                columns = [[] for _ in names]
-        yield _segment_batch(columns, names)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in names]
+            for ord_, number, packed, size, spots in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                data = pa.decompress(packed, size, codec="zstd", asbytes=True) if size else b""
+                for s in spots:
+                    spot = s["spot"]
+                    lead, run = spot >> 7 & 127, spot & 127
+                    for key, start, ahead, more in _cuts(data, s["gram"], (spot >> 14) - lead, lead, run, longer):
+                        for column, value in zip(columns, (key, ord_, number, start, ahead, data[start : start + more + WINDOW]), strict=True):
+                            column.append(value)
+                if len(columns[0]) >= BATCH:
+                    yield _segment_batch(columns, names)
+                    columns = [[] for _ in names]
+            yield _segment_batch(columns, names)
+
+    return rows
 
 
 def _segment_batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
@@ -353,7 +393,7 @@ def repeats(gram: np.ndarray, time: np.ndarray, start: np.ndarray, lead: np.ndar
     cut_row, cut_col = np.nonzero(marks[group] & (np.arange(LEFT + RIGHT + 1) >= LEFT - left[:, None]) & (np.arange(LEFT + RIGHT + 1) <= LEFT + right[:, None]))
     last = np.r_[cut_row[1:] != cut_row[:-1], True]
     begin, stop, owner = cut_col[~last], cut_col[1:][~last[:-1]], cut_row[~last]
-    up, down = _powers(1 << 12)
+    up, down = powers(LEFT + RIGHT + 1)
     total = np.zeros((len(cells), LEFT + RIGHT + 1), np.uint64)
     np.cumsum(mix(cells.astype(np.uint64)) * up[: LEFT + RIGHT], axis=1, out=total[:, 1:])
     symbol = mix((total[owner, stop] - total[owner, begin]) * down[begin] + (stop - begin).astype(np.uint64)) ^ mix(group[owner].astype(np.uint64) << U(8) | begin.astype(np.uint64))
@@ -470,30 +510,36 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """ord, class, start, stop: bytes of the first row of each class that lie in windows with an earlier occurrence."""
-    grams = docs.select("text").mapInArrow(_anchors, "gram long, class long, spot long")
-    shared = materialise(grams.repartition("gram").sortWithinPartitions("gram", "class", "spot").mapInArrow(_shared, "gram long, class long, spot long"), "shared")
+    grams = docs.select("text").mapInArrow(_anchors, "gram long, class long, spot long, known boolean")
+    deal = F.when(F.col("known"), F.xxhash64("class", "spot")).otherwise(F.col("gram"))
+    shared = materialise(grams.repartition(deal).sortWithinPartitions("gram", "class", "spot").mapInArrow(_shared, "gram long, class long, spot long"), "shared")
     named = _named(docs)
     firsts = named.groupBy("class").agg(F.min("ord").alias("ord"))
-    busy = materialise(shared.groupBy("gram").count().where(F.col("count") > hot).select("gram"), "hot")
 
-    def segments(spots: DataFrame) -> DataFrame:
+    def segments(spots: DataFrame, longer: bool) -> DataFrame:
         lists = spots.groupBy("class").agg(F.collect_list(F.struct("spot", "gram")).alias("spots")).join(firsts, "class")
+        if longer:  # few, as a rule: then the texts need not move
+            lists = materialise(lists, "lists")
+            lists = F.broadcast(lists) if spots.count() * 64 <= BROADCAST_BYTES // 2 else lists
         texts = named.where(F.octet_length("text") >= WINDOW).mapInArrow(_pack, "ord long, class long, packed binary, size long")
-        return texts.join(lists, ["ord", "class"]).select("ord", "class", "packed", "size", "spots").mapInArrow(_segments, SEGMENT)
-
-    if busy.isEmpty():
-        cold, more = shared, None
-    else:
-        cold, more = shared.join(busy, "gram", "left_anti"), shared.join(busy, "gram", "left_semi")
-    out = segments(cold).repartition("gram").sortWithinPartitions("gram").mapInArrow(_ranges, RANGE)
-    if more is not None:
-        windows = materialise(segments(more).mapInArrow(_hot_windows, "key binary, ord long, class long, start long"), "windows")
-        keyed = windows.where("key IS NOT NULL")
-        first = keyed.groupBy("key").agg(F.min(F.struct("ord", "class", "start")).alias("first"))
-        later = keyed.join(first, "key").where(F.struct("ord", "class", "start") != F.col("first"))
-        later = later.select("ord", "class", "start").unionByName(windows.where("key IS NULL").select("ord", "class", "start"))
-        out = out.unionByName(later.select("ord", "class", "start", (F.col("start") + WINDOW).alias("stop")))
-    return out
+        return texts.join(lists, ["ord", "class"]).select("ord", "class", "packed", "size", "spots").mapInArrow(_segments(longer), SEGMENT)
+
+    def busy(rows: DataFrame) -> DataFrame:
+        return materialise(rows.groupBy("gram").count().where(F.col("count") > hot).select("gram"), "busy")
+
+    frequent = busy(shared)
+    if frequent.isEmpty():
+        return segments(shared, False).repartition("gram").sortWithinPartitions("gram").mapInArrow(_ranges, RANGE)
+    longer = materialise(segments(materialise(shared.join(frequent, "gram", "left_semi"), "frequent"), True), "longer")
+    still = busy(longer)
+    calm = segments(shared.join(frequent, "gram", "left_anti"), False).unionByName(longer.join(still, "gram", "left_anti"))
+    out = calm.repartition("gram").sortWithinPartitions("gram").mapInArrow(_ranges, RANGE)
+    windows = materialise(longer.join(still, "gram", "left_semi").select(*longer.columns).mapInArrow(_hot_windows, "key binary, ord long, class long, start long"), "windows")
+    keyed = windows.where("key IS NOT NULL")
+    first = materialise(keyed.groupBy("key").agg(F.min(F.struct("ord", "class", "start")).alias("first")), "first")
+    later = keyed.join(first, "key").where(F.struct("ord", "class", "start") != F.col("first")).select("ord", "class", "start")
+    later = later.unionByName(windows.where("key IS NULL").select("ord", "class", "start"))
+    return out.unionByName(later.select("ord", "class", "start", (F.col("start") + WINDOW).alias("stop")))
 
 
 def merge_ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,6 @@ Words are runs of bytes outside 0x20 and 0x09-0x0D. Hashes are polynomial prefix
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ import pyarrow as pa
 U = np.uint64
 SHINGLE = 5
 #: Text bytes that are hashed at a time; a longer document is a piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 19
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 
 WHITE = np.zeros(256, bool)
@@ -32,18 +31,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_P, -1, 1 << 64)
-    up, down = np.full(n, _P, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multiplier's first n powers at least, and those of its inverse; kept for the next call."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        up, down = np.full(size, _P, np.uint64), np.full(size, pow(_P, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+    return _POWERS[0], _POWERS[1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """Hash of each data[start:end]; with fold, A-Z count as a-z."""
-    n = 1 << max(12, int(len(data)).bit_length())
-    up, down = _powers(n)
+    up, down = powers(len(data) + 1)
     table = _BYTES[LOWER] if fold else _BYTES
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * up[: len(data)], out=total[1:])
