@@ -39,7 +39,7 @@ CHUNK, FAN = 256, 8
 #: Members of a component that meet those of others in a large block, and how often at most.
 SPEAKERS, MEETINGS = 8, 8
 MAX_BITS = 1 << 14
-NO_ID = -(1 << 63)
+LAST_ID = (1 << 63) - 1
 
 
 def set_key(tokens: np.ndarray) -> bytes:
@@ -63,7 +63,7 @@ def _pack(index: np.ndarray, count: np.ndarray) -> bytes:
     return np.stack([index.astype(np.uint32), np.minimum(count, 2**32 - 1).astype(np.uint32)]).tobytes()
 
 
-FEATURES = "doc_id {id}, n_shingles long, key binary, short long, sketch binary"
+FEATURES = "doc_id {id}, mark long, n_shingles long, key binary, short long, sketch binary"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +81,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending.clear()
         held = 0
 
-    names, id_type = ["doc_id", "n_shingles", "key", "short", "sketch"], pa.int64()
+    names, id_type = ["doc_id", "mark", "n_shingles", "key", "short", "sketch"], pa.int64()
     for batch in batches:
         id_type, sizes, keys = batch.column(0).type, [], []
-        for tokens in _sets(batch.column(1)):
+        for tokens in _sets(batch.column(2)):
             key = set_key(tokens)
             sizes.append(len(tokens)), keys.append(key)
             if key not in seen:
@@ -94,10 +94,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held >= COUNTED:
                     flush()
         short = pa.array([short_key(k) for k in keys], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), short, pa.nulls(len(keys), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), short, pa.nulls(len(keys), pa.binary())], names)
     flush()
     index = np.flatnonzero(total)
-    none = [pa.nulls(1, t) for t in (id_type, pa.int64(), pa.binary(), pa.int64())]
+    none = [pa.nulls(1, t) for t in (id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64())]
     yield pa.RecordBatch.from_arrays([*none, pa.array([_pack(index, total[index])], pa.binary())], names)
 
 
@@ -440,18 +440,20 @@ def _round_two(shared: DataFrame, sets: DataFrame, classes: DataFrame, comps: Da
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the component), class_key: one row per document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pairs = docs.select("doc_id", "text")
+    pairs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     features = materialise(pairs.mapInArrow(_features, FEATURES.format(id=kind)), "features")
-    rows = features.where("sketch IS NULL").select("doc_id", "n_shingles", "key", "short")
+    rows = features.where("sketch IS NULL").select("doc_id", "mark", "n_shingles", "key", "short")
     levels = frequency_levels(features)
     held = checked_broadcast(docs.sparkSession, levels, levels.nbytes, "the token sketch")
 
     postings = docs.select("text").mapInArrow(_postings(held, percent), "token long, n long, short long")
     shared = materialise(postings.repartition("token").sortWithinPartitions("token", "n", "short").mapInArrow(_shared(percent), "token long, short long"), "shared")
 
-    classes = rows.where("n_shingles > 0").groupBy("key", "short").agg(F.min("doc_id").alias("first_id"))
-    wanted = classes.join(shared.select("short").distinct(), "short").select(F.coalesce("first_id", F.lit(NO_ID)).alias("id"), "key")
-    texts = pairs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(wanted.hint("shuffle_hash"), "id").select("key", "text")
+    classes = rows.where("n_shingles > 0").groupBy("key", "short").agg(F.min("doc_id").alias("first_id"), F.min_by("mark", F.coalesce("doc_id", F.lit(LAST_ID))).alias("mark"))
+    classes = materialise(classes, "classes")
+    # one row of each class, by its id and its text's hash: ids may be missing or shared
+    wanted = classes.join(shared.select("short").distinct(), "short").select(F.coalesce("first_id", F.lit(LAST_ID)).alias("id"), "mark", "key")
+    texts = pairs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "mark", "text").join(wanted.hint("shuffle_hash"), ["id", "mark"]).select("key", "text")
     sets = materialise(texts.mapInArrow(_class_sets, "short long, key binary, n long, signature binary, tokens binary"), "sets")
 
     comps = _round_one(shared, sets, classes, percent)

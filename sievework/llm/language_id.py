@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise
-from .textvec import LOWER, U, WHITE, mix, pieces
+from .common import checked_broadcast
+from .textvec import LOWER, U, mix, pieces
 
 BUCKETS = 1 << 15
 #: Trigrams; each language's table has BUCKETS counts.
