@@ -177,7 +177,8 @@ def removals(docs: DataFrame) -> DataFrame:
     classes = materialise(classes, "classes")
     anchors = materialise(classes.select("ord", "digest", "lines").mapInArrow(_anchors, "line long, ord long, digest binary"), "anchors")
     owner = anchors.groupBy("line").agg(F.min(F.struct("ord", "digest")).alias("o"), F.count("*").alias("df")).where("df > 1")
-    owner = owner.select("line", F.col("o.digest").alias("owner"), "df")
+    # written out, so that the join deals both sides anew and can split a very common line
+    owner = materialise(owner.select("line", F.col("o.digest").alias("owner"), "df"), "owners")
     pairs = anchors.join(owner, "line").where("digest <> owner").groupBy(F.col("digest").alias("later"), "owner").agg(F.min("df").alias("df"))
     lines = classes.select("digest", "lines")
     both = pairs.join(lines.select(F.col("digest").alias("owner"), F.col("lines").alias("owner_lines")), "owner")
@@ -190,7 +191,8 @@ def removals(docs: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The columns of docs with the kept text (n_chars with its length), and n_lines, n_removed as last columns."""
     found = removals(docs).select(F.col("digest").alias("__digest"), "first_ord", "gone")
-    found = found.select("__digest", F.struct("first_ord", "gone").alias("__found"))
+    # written out, so that the join can split a text with very many copies
+    found = materialise(found.select("__digest", F.struct("first_ord", "gone").alias("__found")), "found")
     rows = docs.withColumn("__digest", digest(F.col("text"))).join(found, "__digest", "left")
     ord_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     lines = F.split("text", "\n")
