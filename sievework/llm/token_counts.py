@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, path_exists, scratch_path
+from .common import checked_broadcast, materialise, path_exists, scratch_path
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 
@@ -81,7 +81,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache_path)
 
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
-    counts = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have counted one text
+    # two runs may have counted one text; written out, so that the join can split a text with very many copies
+    counts = materialise(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
