@@ -6,8 +6,8 @@ passage whole. A passage is a query of its distinct words. An item's retrieval t
 can have that holds THRESHOLD of the item's five-word shingles, so retrieval loses none. As in WAND, only a passage
 with a term whose absence would rule the item out is looked at; then blocks whose summed maxima stay below the
 threshold are skipped; the rest is scored in full. What is above its threshold is verified: THRESHOLD of the item's
-distinct shingles lie in the passage, and PART of the shingles that touch the question and of those that touch the
-answer (the item's last line, if it has several lines).
+distinct shingles lie in the passage, and PART of the question's distinct words and of the answer's (the item's last
+line, if it has several lines); each part is taken as five words at least.
 
 Defined cases: A-Z are lowered; null, empty and wordless texts have no hits; items without words are ignored; an item
 of fewer words than a shingle is one sequence; repeated rows are each returned; ties keep all items; null ids are kept;
@@ -40,7 +40,7 @@ class Item:
     item_id: object
     shingles: np.ndarray  # distinct, sorted
     width: int
-    question: np.ndarray  # of shingles: touches the question
+    question: np.ndarray  # distinct words
     answer: np.ndarray
 
 
@@ -73,11 +73,11 @@ def build_index(rows: list[tuple]) -> Index | None:
         body = (text or "").rstrip().encode()
         cut = body.rfind(b"\n")
         split = int(np.searchsorted(starts, cut)) if cut >= 0 else len(words)
+        first_answer, end_question = min(split, max(0, len(words) - SHINGLE)), max(split, SHINGLE)
         width = min(SHINGLE, len(words))
         runs = shingle_hashes(words)
         distinct = np.unique(runs)
-        at = np.arange(len(runs))
-        items.append(Item(item_id, distinct, width, np.isin(distinct, runs[at < max(split, 1)]), np.isin(distinct, runs[at + width > split])))
+        items.append(Item(item_id, distinct, width, np.unique(words[:end_question]), np.unique(words[first_answer:] if cut >= 0 else words[:0])))
         words_of.append(words)
     if not items:
         return None
@@ -165,7 +165,7 @@ def find(index: Index, data: np.ndarray, off: np.ndarray) -> list[tuple[int, tup
                 item = index.items[block.first + i]
                 runs = shingle_hashes(words[a:z], item.width) if z - a >= item.width else words[:0]
                 have = np.isin(item.shingles, runs)
-                part_of = lambda mask: float(have[mask].mean()) if mask.any() else 1.0
+                part_of = lambda part: float(np.isin(part, words[a:z]).mean()) if len(part) else 1.0
                 overlap, question, answer = float(have.mean()), part_of(item.question), part_of(item.answer)
                 if overlap >= THRESHOLD and question >= PART and answer >= PART:
                     where = np.flatnonzero(np.isin(runs, item.shingles))
