@@ -1,18 +1,19 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
-Each text gives FEATURES statistics; ratios are arcsine-square-root transformed, counts logarithmed. For each class the
+Each text gives FEATURES statistics; ratios are arcsine-square-root transformed, counts logarithmed, and all are drawn
+to their training mean as far as the text is short (by RELIABLE words), since few words tell little. For each class the
 moments of all labelled training rows give a mean and a covariance that is shrunk toward the pooled covariance and its
 mean variance. The score is the logistic of the difference of the classes' log densities (Mahalanobis distance and log
 determinant from Cholesky factors that are computed once) plus the log odds of the classes.
 
-Defined cases: null, empty and wordless texts have all-zero statistics and are scored as such; null labels and ids are
+Defined cases: null, empty and wordless texts are scored as the mean text; null labels and ids are
 not learned from; repeated label rows count each time; without rows of both classes every score is 0.5; ties (0.5)
 predict 1; repeated rows are each returned; an empty table gives no rows; further columns are never read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from .language_id import held_out
 from .textvec import pieces, shingle_hashes, span_hashes, word_spans
 
 SHRINK_POOLED, SHRINK_ROUND = 0.1, 0.02
+RELIABLE = 25
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other
 _CLASS[ord("a") : ord("z") + 1] = 1
@@ -90,21 +92,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), FEATURES)
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def drawn(x: np.ndarray, mean: np.ndarray | None) -> np.ndarray:
+    """Statistics drawn to the mean, the more the fewer words; the first one is the logarithm of 1 + words."""
+    if mean is None:
+        return x
+    words = np.expm1(x[:, :1])
+    return mean + (x - mean) * (words / (words + RELIABLE))
+
+
+def _moments(mean: np.ndarray | None) -> Callable:
     """For each class, the task's 1, x and x x' summed, as one list."""
-    total = np.zeros((2, FEATURES + 1, FEATURES + 1))
-    for batch in batches:
-        x = np.c_[np.ones(batch.num_rows), _matrix(batch.column(1))]
-        label = batch.column(0).to_numpy()
-        for c in (0, 1):
-            total[c] += x[label == c].T @ x[label == c]
-    yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([t.ravel().tolist() for t in total], pa.list_(pa.float64()))], ["label", "m"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, FEATURES + 1, FEATURES + 1))
+        for batch in batches:
+            x = np.c_[np.ones(batch.num_rows), drawn(_matrix(batch.column(1)), mean)]
+            label = batch.column(0).to_numpy()
+            for c in (0, 1):
+                total[c] += x[label == c].T @ x[label == c]
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([t.ravel().tolist() for t in total], pa.list_(pa.float64()))], ["label", "m"])
+
+    return run
 
 
 class Discriminant:
-    """Means and Cholesky factors of two classes, from their summed moments (2, d + 1, d + 1)."""
+    """Means and Cholesky factors of two classes, from their summed moments (2, d + 1, d + 1) of drawn statistics."""
 
-    def __init__(self, moments: np.ndarray):
+    def __init__(self, moments: np.ndarray, center: np.ndarray | None = None):
+        self.center = center
         n = moments[:, 0, 0]
         self.fitted = bool((n > 0).all())
         if not self.fitted:
@@ -127,6 +142,7 @@ class Discriminant:
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.fitted:
             return np.full(len(x), 0.5)
+        x = drawn(x, self.center)
         density = [-0.5 * ((((x / self.scale) - self.mean[c]) @ self.inverse[c].T) ** 2).sum(1) - 0.5 * self.log_det[c] for c in (0, 1)]
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.log_odds, -500, 500)))
 
@@ -134,12 +150,19 @@ class Discriminant:
 def fit(vectors: DataFrame, labels: DataFrame) -> Discriminant:
     """From all rows of vectors (doc_id, x) that are not held out and have a label."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    part = vectors.join(known, "doc_id").select("label", "x").mapInArrow(_moments, "label int, m array<double>")
-    sums = part.select("label", F.posexplode("m").alias("at", "m")).groupBy("label", "at").agg(F.sum("m").alias("m")).collect()  # 2 (d + 1)^2 rows
-    moments = np.zeros((2, (FEATURES + 1) ** 2))
-    for row in sums:
-        moments[row.label, row.at] = row.m
-    return Discriminant(moments.reshape(2, FEATURES + 1, FEATURES + 1))
+    rows = vectors.join(known, "doc_id").select("label", "x")
+
+    def moments(mean: np.ndarray | None) -> np.ndarray:
+        part = rows.mapInArrow(_moments(mean), "label int, m array<double>")
+        sums = part.select("label", F.posexplode("m").alias("at", "m")).groupBy("label", "at").agg(F.sum("m").alias("m")).collect()  # 2 (d + 1)^2 rows
+        out = np.zeros((2, (FEATURES + 1) ** 2))
+        for row in sums:
+            out[row.label, row.at] = row.m
+        return out.reshape(2, FEATURES + 1, FEATURES + 1)
+
+    total = moments(None).sum(0)[0]
+    mean = total[1:] / max(total[0], 1.0)
+    return Discriminant(moments(mean), mean)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
