@@ -54,19 +54,21 @@ def fallback_moments(rows: DataFrame, path: str, tie: str, p: Params = DEFAULT)
 
 
 def with_moments(records: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Records (ord, path, status, capture_time) with their moment columns; if no alive row has a time, by folder.
+    """Records (ord, path, status, capture_time) with their moment columns: by time, or by folder where there is none.
 
-    Rows that are not alive, and those without a time if others have one, are `unknown` without an id.
+    Rows that are not alive are `unknown` without an id, and so are those without a time if the fallback is off.
     """
     from ..functions.tiers import is_alive
 
+    names = ["ord", "moment_id", "moment_label", "moment_start", "moment_end"]
     alive = records.where(is_alive(F.col("status")))
-    if alive.where("capture_time IS NOT NULL").isEmpty():
-        found = fallback_moments(alive.select("ord", "path"), "path", "ord", p).select("ord", "moment_id", "moment_label", F.lit(None).cast("timestamp_ntz").alias("moment_start"), F.lit(None).cast("timestamp_ntz").alias("moment_end"))
-    else:
-        found = moments(alive.select("ord", "capture_time"), "capture_time", "ord", p).select("ord", "moment_id", "moment_label", "moment_start", "moment_end")
-    rest = records.drop("moment_id", "moment_label", "moment_start", "moment_end")
-    return rest.join(found, "ord", "left").withColumn("moment_label", F.coalesce("moment_label", F.lit(p.unknown)))
+    found = moments(alive.select("ord", "capture_time"), "capture_time", "ord", p).select(*names)
+    if p.folder_fallback:
+        never = F.lit(None).cast("timestamp_ntz")
+        rest = fallback_moments(alive.where("capture_time IS NULL").select("ord", "path"), "path", "ord", p)
+        found = found.unionByName(rest.withColumns({"moment_start": never, "moment_end": never}).select(*names))
+    others = records.drop(*names[1:])
+    return others.join(found, "ord", "left").withColumn("moment_label", F.coalesce("moment_label", F.lit(p.unknown)))
 
 
 def burst_groups(rows: DataFrame, p: Params = DEFAULT, moment: str = "moment_id", time: str = "capture_time", path: str = "path", tie: str = "ord") -> DataFrame:

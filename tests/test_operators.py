@@ -230,3 +230,14 @@ def test_enrichment(spark):
     tags = {r.path: r.clip_event_tags for r in enrich.with_event_tags(records, pictures, prompts).collect()}
     assert tags == {"a": ["birthday_party", "beach"], "b": [], "c": [], "d": []}
     assert [r.match for r in enrich.verify(pictures, persons, "ann").collect()] == [True]
+
+
+def test_moments_by_time_or_folder(spark):
+    from dataclasses import replace
+
+    rows = [(0, "/p/Day One/a.jpg", "surviving", None), (1, "/p/x/b.jpg", "surviving", datetime(2024, 1, 1)), (2, "/p/x/c.jpg", "rejected_dark", datetime(2024, 1, 1)), (3, "/p/Z/d.jpg", "soft_blur_surviving", None), (4, "/p/day one/e.jpg", "surviving", None)]
+    frame = spark.createDataFrame(rows, "ord long, path string, status string, capture_time timestamp_ntz")
+    got = {r.ord: (r.moment_id, r.moment_label) for r in sessions.with_moments(frame).collect()}
+    assert got == {0: (10001, "day_one"), 1: (1, "moment_01"), 2: (None, "unknown"), 3: (10002, "z"), 4: (10001, "day_one")}
+    got = {r.ord: r.moment_label for r in sessions.with_moments(frame, replace(DEFAULT, folder_fallback=False)).collect()}
+    assert got == {0: "unknown", 1: "moment_01", 2: "unknown", 3: "unknown", 4: "unknown"}
