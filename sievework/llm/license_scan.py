@@ -3,7 +3,8 @@
 Texts are cut into sentences, sentences are normalised (A-Z lowered, runs of anything but a-z and 0-9 are one space)
 and looked up among known licence sentences; the ordered list of the identifiers found, other sentences left out, is
 matched against the rules, each an ordered run of identifiers. Two readings are tried: line ends close a sentence,
-and line ends are spaces (notices that are wrapped).
+and line ends are spaces (notices that are wrapped). Texts without any of a few words, of which each known sentence has
+one, can't hold a known sentence and are not cut.
 
 Defined cases: null and empty texts have no sentences and no licences; a repeated row is returned again; null ids are
 kept; an empty table gives no rows; further columns are ignored; texts of any length are scanned whole.
@@ -67,6 +68,24 @@ def known_sentences() -> dict[str, int]:
     return {" ".join(re.findall("[a-z0-9]+", text.lower())): i for i, text in enumerate(SENTENCES.values(), 1)}
 
 
+def telling_words() -> list[str]:
+    """Words of which every known sentence has one: the word of most sentences, again and again."""
+    left, out = [set(s.split(" ")) for s in known_sentences()], []
+    while left:
+        words = sorted({w for s in left for w in s if len(w) > 4})
+        out.append(max(words, key=lambda w: (sum(w in s for s in left), len(w))))
+        left = [s for s in left if out[-1] not in s]
+    return out
+
+
+def may_hold(text: Column) -> Column:
+    low = F.translate(text, UPPER, LOWER)
+    test = F.lit(False)
+    for word in telling_words():
+        test = test | low.contains(word)
+    return test
+
+
 def _sentences(text: Column) -> Column:
     """Array of normalised sentences: an end mark with white space after it, or a line end, closes one."""
     cut = F.regexp_replace(text, r"([.!?;:])[\x20\x09-\x0D]+", "$1\n")
@@ -83,7 +102,10 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     """doc_id, licences (sorted names), sentence_ids (by lines), wrapped_ids (line ends read as spaces)."""
     known, number = known_sentences(), {name: i for i, name in enumerate(SENTENCES, 1)}
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", _found(text, known).alias("sentence_ids"), _found(F.translate(text, "\n\r", "  "), known).alias("wrapped_ids"))
+    none = F.array().cast("array<int>")
+    scan = lambda t: F.when(F.col("may"), _found(t, known)).otherwise(none)
+    found = docs.select("doc_id", text.alias("text"), may_hold(text).alias("may"))
+    found = found.select("doc_id", scan(F.col("text")).alias("sentence_ids"), scan(F.translate("text", "\n\r", "  ")).alias("wrapped_ids"))
     run = lambda ids: F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
     names = []
     for name in sorted({n for n, _ in RULES}):
