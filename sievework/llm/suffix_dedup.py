@@ -217,6 +217,13 @@ def anchors_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         yield row + first, gram, anchor + shift, start + shift, last + shift
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: Python values of a whole batch would take several times its memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def class_number(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
@@ -227,7 +234,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: the gram is frequent in this batch. Two of its rows are given a second time as not known, for other tasks.
     """
     seen: set[int] = set()
-    for batch in batches:
+    for batch in _sliced(batches, 2048):
         column = batch.column(0).fill_null("")
         numbers, fresh = [], []
         for text in column.to_pylist():
@@ -302,7 +309,7 @@ def _segments(longer: bool) -> Callable:
     names = ["gram", "ord", "class", "start", "lead", "bytes"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             columns: list[list] = [[] for _ in names]
             for ord_, number, packed, size, spots in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 data = pa.decompress(packed, size, codec="zstd", asbytes=True) if size else b""
@@ -476,7 +483,7 @@ def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names)
 
-    for batch in batches:
+    for batch in _sliced(batches):
         out: list[tuple] = []
         for ord_, number, start, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5)), strict=True):
             for i in range(len(data) - WINDOW + 1):
@@ -488,14 +495,14 @@ def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 elif own > other:
                     out.append((None, *own))
         yield rows(out)
-        if len(first) > 1_000_000:
+        if len(first) > 200_000:
             yield rows([(k, *v) for k, v in first.items()])
             first.clear()
     yield rows([(k, *v) for k, v in first.items()])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches):
         texts = [t.encode() for t in batch.column(2).to_pylist()]
         packed = pa.array([pa.compress(t, codec="zstd", asbytes=True) if t else b"" for t in texts], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, pa.array([len(t) for t in texts], pa.int64())], ["ord", "class", "packed", "size"])
@@ -552,7 +559,7 @@ def merge_ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.
 
 def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of one row's list merged: (ord, class, starts, stops)."""
-    for batch in batches:
+    for batch in _sliced(batches):
         starts, stops = [], []
         for spans in batch.column(2):
             a, b = merge_ranges(*(spans.values.field(i).to_numpy() for i in (0, 1)))
@@ -575,7 +582,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, keep_bytes: bool = True) ->
     joined = packed.join(known, "class")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             out: list[tuple] = []
             for ord_, first, packed, size, starts, stops in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 data = pa.decompress(packed, size, codec="zstd", asbytes=True) if size else b""
