@@ -2,9 +2,10 @@
 
 Texts are cut into sentences, sentences are normalised (A-Z lowered, runs of anything but a-z and 0-9 are one space)
 and looked up among known licence sentences; the ordered list of the identifiers found, other sentences left out, is
-matched against the rules, each an ordered run of identifiers. Two readings are tried: line ends close a sentence,
-and line ends are spaces (notices that are wrapped). Texts without any of a few words, of which each known sentence has
-one, can't hold a known sentence and are not cut.
+matched against the rules, each an ordered run of identifiers. Three readings are tried: line ends close a sentence;
+blank lines and copyright lines do, and other line ends are spaces (notices that are wrapped); all line ends are spaces.
+A line without letters and digits is blank, so notices in comments are read too. Texts without any of a few words, of
+which each known sentence has one, can't hold a known sentence and are not cut.
 
 Defined cases: null and empty texts have no sentences and no licences; a repeated row is returned again; null ids are
 kept; an empty table gives no rows; further columns are ignored; texts of any length are scanned whole.
@@ -60,6 +61,8 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MPL-2.0", ("mpl2_ref",)),
     ("Unlicense", ("unlicense",)),
 ]
+# A line that names a holder ends there, also without an end mark or a blank line below it.
+HOLDER = r"(?md)^([^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*)$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,25 +96,33 @@ def _sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(plain, r"\x20?\n\x20?", "\n"), "\n")
 
 
+def _paragraphs(text: Column) -> Column:
+    """text with one line for each paragraph: single line ends are spaces, blank lines and holders' lines end a paragraph."""
+    low = F.translate(F.regexp_replace(text, r"\r\n?", "\n"), UPPER + "\f", LOWER + " ")
+    marked = F.regexp_replace(F.regexp_replace(low, HOLDER, "\n$1\n"), r"\n[^a-z0-9]*\n", "\f")
+    return F.translate(marked, "\n\f", " \n")
+
+
 def _found(text: Column, known: dict[str, int]) -> Column:
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return F.filter(F.transform(_sentences(text), lambda s: F.try_element_at(lookup, F.trim(s))), lambda i: i.isNotNull())
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
-    """doc_id, licences (sorted names), sentence_ids (by lines), wrapped_ids (line ends read as spaces)."""
+    """doc_id, licences (sorted names), sentence_ids (by lines), wrapped_ids (all line ends read as spaces), paragraph_ids."""
     known, number = known_sentences(), {name: i for i, name in enumerate(SENTENCES, 1)}
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<int>")
     scan = lambda t: F.when(F.col("may"), _found(t, known)).otherwise(none)
     found = docs.select("doc_id", text.alias("text"), may_hold(text).alias("may"))
-    found = found.select("doc_id", scan(F.col("text")).alias("sentence_ids"), scan(F.translate("text", "\n\r", "  ")).alias("wrapped_ids"))
+    readings = {"sentence_ids": F.col("text"), "wrapped_ids": F.translate("text", "\n\r", "  "), "paragraph_ids": _paragraphs(F.col("text"))}
+    found = found.select("doc_id", *[scan(t).alias(c) for c, t in readings.items()])
     run = lambda ids: F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
     names = []
     for name in sorted({n for n, _ in RULES}):
-        tests = [run(F.col(c)).contains("," + ",".join(str(number[s]) for s in rule) + ",") for n, rule in RULES if n == name for c in ("sentence_ids", "wrapped_ids")]
+        tests = [run(F.col(c)).contains("," + ",".join(str(number[s]) for s in rule) + ",") for n, rule in RULES if n == name for c in readings]
         hit = tests[0]
         for test in tests[1:]:
             hit = hit | test
         names.append(F.when(hit, F.lit(name)))
-    return found.select("doc_id", F.filter(F.array(*names), lambda x: x.isNotNull()).alias("licences"), "sentence_ids", "wrapped_ids")
+    return found.select("doc_id", F.filter(F.array(*names), lambda x: x.isNotNull()).alias("licences"), *readings)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -546,6 +547,56 @@ def test_licences(spark, docs, none):
     assert license_scan.scan_licences(docs).count() == len(rows()) and license_scan.scan_licences(none).count() == 0
 
 
+def wrapped(name, width=72):
+    return "\n".join(textwrap.wrap(license_scan.SENTENCES[name], width))
+
+
+MIT_FILE = f"""MIT License
+
+Copyright (c) 2020 Foo
+
+{wrapped("mit_grant")}
+
+{wrapped("mit_notice")}
+
+{wrapped("as_is")} IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+ISC_FILE = f"""ISC License
+
+Copyright (c) 2020, Foo
+
+{wrapped("isc_grant")}
+"""
+BSD_FILE = f"""Copyright (c) 2020, Foo
+All rights reserved
+
+{wrapped("bsd_grant")}
+
+1. {wrapped("bsd_source")}
+
+2. {wrapped("bsd_binary")}
+"""
+GPL_FILE = """    foo - does what it is named for
+    Copyright (C) 2020  Foo
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+
+
+def test_wrapped_licences_below_a_copyright_line(spark):
+    cases = [("MIT", MIT_FILE), ("ISC", ISC_FILE), ("BSD-2-Clause", BSD_FILE), ("GPL-3.0-or-later", GPL_FILE)]
+    cases += [(name, text.replace("\n", "\r\n")) for name, text in cases]
+    cases += [(name, "\n".join("# " + x for x in text.split("\n"))) for name, text in cases[:4]]
+    cases += [("MIT", "Copyright (c) 2020 Foo\n" + MIT_FILE.split("\n\n", 2)[2]), ("ISC", ISC_FILE.replace("\n\n", "\n"))]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in license_scan.scan_licences(frame).collect()}
+    assert got == {i: [name] for i, (name, _) in enumerate(cases)}
+
+
 def test_empty_table(none):
     assert jaccard_join.jaccard_components(none).count() == 0 and jaccard_join.keep_one_of_each(none).count() == 0
     assert exact_dedup.exact_dedup(none).count() == 0
