@@ -61,19 +61,76 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MPL-2.0", ("mpl2_ref",)),
     ("Unlicense", ("unlicense",)),
 ]
+# Further sentences and rules. They are kept apart: the SQL in queries.py is made of the ones above.
+MORE_SENTENCES: dict[str, str] = {
+    "bsd_neither": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd_author": "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "gpl_terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "gpl2_terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl2_later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "version2": "version 2 of the License.",
+    "version2_later": "either version 2 of the License, or (at your option) any later version.",
+    "version21_later": "either version 2.1 of the License, or (at your option) any later version.",
+    "version3_later": "either version 3 of the License, or (at your option) any later version.",
+    "lgpl_free": "This library is free software;",
+    "lgpl_terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "lgpl21_later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3_later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl_terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation;",
+    "agpl3_later": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "cc0_waiver": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "cc0_ref": "Licensed under CC0 1.0.",
+    "zlib_as_is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+}
+MORE_RULES: list[tuple[str, tuple[str, ...]]] = [
+    ("AGPL-3.0-or-later", ("gpl_free", "agpl3_later")),
+    ("AGPL-3.0-or-later", ("gpl_free", "agpl_terms", "version3_later")),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_neither")),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_author")),
+    ("CC0-1.0", ("cc0_ref",)),
+    ("CC0-1.0", ("cc0_waiver",)),
+    ("GPL-2.0-only", ("gpl_free", "gpl2_terms")),
+    ("GPL-2.0-only", ("gpl_free", "gpl_terms", "version2")),
+    ("GPL-2.0-or-later", ("gpl_free", "gpl2_later")),
+    ("GPL-2.0-or-later", ("gpl_free", "gpl_terms", "version2_later")),
+    ("GPL-3.0-or-later", ("gpl_free", "gpl_terms", "version3_later")),
+    ("LGPL-2.1-or-later", ("lgpl_free", "lgpl21_later")),
+    ("LGPL-2.1-or-later", ("lgpl_free", "lgpl_terms", "version21_later")),
+    ("LGPL-3.0-or-later", ("gpl_free", "lgpl3_later")),
+    ("LGPL-3.0-or-later", ("gpl_free", "lgpl_terms", "version3_later")),
+    ("LGPL-3.0-or-later", ("lgpl_free", "lgpl3_later")),
+    ("LGPL-3.0-or-later", ("lgpl_free", "lgpl_terms", "version3_later")),
+    ("Zlib", ("zlib_as_is", "zlib_grant")),
+]
+# The holder's name in the third condition of BSD, in normalised sentences; "Inc." may have closed one.
+NAMED = r"neither the names? of [a-z0-9 \n]{1,300}?[ \n]nor the names of (?:its|their) contributors"
 # A line that names a holder ends there, also without an end mark or a blank line below it.
 HOLDER = r"(?md)^([^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*)$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def known_sentences() -> dict[str, int]:
-    """Normalised sentence -> identifier. A sentence that the cutter splits further has its words as one entry."""
+    """Normalised sentence -> identifier, of SENTENCES, each with its words as one entry."""
     return {" ".join(re.findall("[a-z0-9]+", text.lower())): i for i, text in enumerate(SENTENCES.values(), 1)}
 
 
+def catalogue() -> dict[str, str]:
+    return SENTENCES | MORE_SENTENCES
+
+
+def sentence_parts() -> dict[tuple[str, ...], int]:
+    """The sentences that the cutter makes of each known one -> its identifier."""
+    out = {}
+    for i, text in enumerate(catalogue().values(), 1):
+        parts = re.split(r"(?<=[.!?;:])[\x20\x09-\x0D]+", text.strip())
+        out[tuple(" ".join(re.findall("[a-z0-9]+", p.lower())) for p in parts)] = i
+    return out
+
+
 def telling_words() -> list[str]:
     """Words of which every known sentence has one: the word of most sentences, again and again."""
-    left, out = [set(s.split(" ")) for s in known_sentences()], []
+    left, out = [{w for p in parts for w in p.split(" ")} for parts in sentence_parts()], []
     while left:
         words = sorted({w for s in left for w in s if len(w) > 4})
         out.append(max(words, key=lambda w: (sum(w in s for s in left), len(w))))
@@ -93,7 +150,8 @@ def _sentences(text: Column) -> Column:
     """Array of normalised sentences: an end mark with white space after it, or a line end, closes one."""
     cut = F.regexp_replace(text, r"([.!?;:])[\x20\x09-\x0D]+", "$1\n")
     plain = F.regexp_replace(F.translate(cut, UPPER, LOWER), r"[^a-z0-9\n]+", " ")
-    return F.split(F.regexp_replace(plain, r"\x20?\n\x20?", "\n"), "\n")
+    plain = F.regexp_replace(plain, r"\x20?\n\x20?", "\n")
+    return F.split(F.regexp_replace(plain, NAMED, "neither the name of the copyright holder nor the names of its contributors"), "\n")
 
 
 def _paragraphs(text: Column) -> Column:
@@ -103,26 +161,59 @@ def _paragraphs(text: Column) -> Column:
     return F.translate(marked, "\n\f", " \n")
 
 
-def _found(text: Column, known: dict[str, int]) -> Column:
-    lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.filter(F.transform(_sentences(text), lambda s: F.try_element_at(lookup, F.trim(s))), lambda i: i.isNotNull())
+def _found(text: Column, known: dict[tuple[str, ...], int]) -> Column:
+    """Identifiers of the known sentences of text, in order: one of several parts is known where all of them follow."""
+    lookup = F.create_map(*[F.lit(x) for parts, i in known.items() if len(parts) == 1 for x in (parts[0], i)])
+    several = {parts: i for parts, i in known.items() if len(parts) > 1}
+    cut = F.transform(_sentences(text), lambda s: F.trim(s))
+    single = lambda s: F.try_element_at(lookup, s)
+    if not several:
+        return F.filter(F.transform(cut, single), lambda i: i.isNotNull())
+
+    def ids(cuts: Column) -> Column:
+        whole = lambda parts, at: F.slice(cuts, at + 1, len(parts)) == F.array(*[F.lit(p) for p in parts])
+        test = lambda s, at: F.coalesce(*[F.when((s == parts[0]) & whole(parts, at), F.lit(i)) for parts, i in several.items()], single(s))
+        return F.transform(cuts, test)
+
+    # the cut sentences are an array of one, so that they are made once
+    return F.filter(F.flatten(F.transform(F.array(cut), ids)), lambda i: i.isNotNull())
+
+
+def _names(readings: list[Column], number: dict[str, int]) -> list[Column]:
+    """For each licence its name where a rule of it is found in a reading, else null. The longest rule wins: one that a
+    longer rule holds counts only where it is found more often than that."""
+    rules = RULES + MORE_RULES
+    mark = lambda rule: "".join(f",{number[s]}," for s in rule)
+    runs = [F.concat(F.lit(","), F.array_join(ids, ",,"), F.lit(",")) for ids in readings]
+    times = lambda rule: F.greatest(*[(F.length(r) - F.length(F.replace(r, F.lit(mark(rule)), F.lit("")))) / len(mark(rule)) for r in runs])
+
+    def hit(name: str, rule: tuple[str, ...]) -> Column:
+        longer = [r for n, r in rules if n != name and mark(rule) in mark(r) and r != rule]
+        if longer:
+            return times(rule) > sum((times(r) for r in longer), F.lit(0.0))
+        out = F.lit(False)
+        for r in runs:
+            out = out | r.contains(mark(rule))
+        return out
+
+    out = []
+    for name in sorted({n for n, _ in rules}):
+        test = F.lit(False)
+        for n, rule in rules:
+            if n == name:
+                test = test | hit(name, rule)
+        out.append(F.when(test, F.lit(name)))
+    return out
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
     """doc_id, licences (sorted names), sentence_ids (by lines), wrapped_ids (all line ends read as spaces), paragraph_ids."""
-    known, number = known_sentences(), {name: i for i, name in enumerate(SENTENCES, 1)}
+    known, number = sentence_parts(), {name: i for i, name in enumerate(catalogue(), 1)}
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<int>")
     scan = lambda t: F.when(F.col("may"), _found(t, known)).otherwise(none)
     found = docs.select("doc_id", text.alias("text"), may_hold(text).alias("may"))
     readings = {"sentence_ids": F.col("text"), "wrapped_ids": F.translate("text", "\n\r", "  "), "paragraph_ids": _paragraphs(F.col("text"))}
     found = found.select("doc_id", *[scan(t).alias(c) for c, t in readings.items()])
-    run = lambda ids: F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
-    names = []
-    for name in sorted({n for n, _ in RULES}):
-        tests = [run(F.col(c)).contains("," + ",".join(str(number[s]) for s in rule) + ",") for n, rule in RULES if n == name for c in readings]
-        hit = tests[0]
-        for test in tests[1:]:
-            hit = hit | test
-        names.append(F.when(hit, F.lit(name)))
+    names = _names([F.col(c) for c in readings], number)
     return found.select("doc_id", F.filter(F.array(*names), lambda x: x.isNotNull()).alias("licences"), *readings)

@@ -597,6 +597,25 @@ def test_wrapped_licences_below_a_copyright_line(spark):
     assert got == {i: [name] for i, (name, _) in enumerate(cases)}
 
 
+def test_every_rule_finds_its_own_text(spark):
+    known = license_scan.SENTENCES | license_scan.MORE_SENTENCES
+    rules = license_scan.RULES + license_scan.MORE_RULES
+    texts = [(name, sep.join(known[s] for s in rule)) for name, rule in rules for sep in (" ", "\n", "\n\n")]
+    texts += [(name, "A heading\n\n" + "\n\n".join("\n".join(textwrap.wrap(known[s], 72)) for s in rule)) for name, rule in rules]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in license_scan.scan_licences(frame).collect()}
+    assert got == {i: [name] for i, (name, _) in enumerate(texts)}
+
+
+def test_licences_of_parts_and_longer_rules(spark):
+    third = "3. Neither the name of Foo, Inc. nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one.\n"
+    cases = [(BSD_FILE, ["BSD-2-Clause"]), (BSD_FILE + "\n" + third, ["BSD-3-Clause"]), (BSD_FILE + "\n" + third + "\n" + BSD_FILE, ["BSD-2-Clause", "BSD-3-Clause"])]
+    cases += [(mpl, ["MPL-2.0"]), ("2.0.\nThis Source Code Form is subject to the terms of the Mozilla Public License, v.", [])]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in license_scan.scan_licences(frame).collect()} == {i: names for i, (_, names) in enumerate(cases)}
+
+
 def test_empty_table(none):
     assert jaccard_join.jaccard_components(none).count() == 0 and jaccard_join.keep_one_of_each(none).count() == 0
     assert exact_dedup.exact_dedup(none).count() == 0
