@@ -50,6 +50,12 @@ def representatives(rows: DataFrame, folder: str = "folder") -> DataFrame:
     return rows.groupBy("hi", "lo", folder).agg(F.min("ord").alias("ord"))
 
 
+def members(rows: DataFrame, folder: str = "folder") -> DataFrame:
+    """ord, first of every row: the representative of its hash and folder (a representative has itself)."""
+    first = representatives(rows, folder).select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.col(folder).alias("f"), F.col("ord").alias("first"))
+    return rows.join(first, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & F.col(folder).eqNullSafe(F.col("f"))).select("ord", "first")
+
+
 def hamming_pairs(rows: DataFrame, same: int, cross: int | None = None, folder: str = "folder") -> DataFrame:
     """a, b, distance of rows (ord, hi, lo, folder): within `same` in one folder, within `cross` across folders.
 

@@ -198,6 +198,13 @@ def hamming_pairs_two_tier(spark, sf_dir):
     return dedup.hamming_pairs(dedup.representatives(simhashes(spark, sf_dir)), DEFAULT.hash_same, DEFAULT.hash_cross)
 
 
+# the pair queries are over the first document of each hash and source; every link is a pair of members of such a pair, or
+# of one first document (distance 0)
+@query(f"WITH {SIMHASH_SQL} SELECT s.doc_id, r.ord AS first, CAST(0 AS INTEGER) AS distance FROM sh s JOIN documents d USING (doc_id) JOIN r ON r.hi = s.hi AND r.lo = s.lo AND r.folder IS NOT DISTINCT FROM d.source")
+def hamming_members(spark, sf_dir):
+    return dedup.members(simhashes(spark, sf_dir)).select(F.col("ord").alias("doc_id"), "first", F.lit(0).alias("distance"))
+
+
 @query(f"""WITH RECURSIVE {SIMHASH_SQL},
 member AS (SELECT s.doc_id AS ord, r.ord AS rep FROM sh s JOIN documents d USING (doc_id) JOIN r ON r.hi = s.hi AND r.lo = s.lo AND r.folder = d.source),
 e AS (SELECT a, b FROM pairs WHERE distance <= CASE WHEN same THEN 8 ELSE 4 END), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),

@@ -48,6 +48,22 @@ def test_hamming_bands_find_all_pairs(spark):
     assert got == {i: (firsts.index(r) + 1, i == r) if root.count(r) > 1 else (None, True) for i, r in enumerate(root)}
 
 
+def test_pairs_and_members_make_all_links(spark):
+    rng = random.Random(6)
+    hashes = [rng.getrandbits(64) for _ in range(4)]
+    hashes += [hashes[0] ^ 0b111, hashes[0] ^ 0b111111]
+    rows = [(i, h >> 32, h & 0xFFFFFFFF, f"f{rng.randrange(2)}") for i, h in enumerate(rng.choice(hashes) for _ in range(60))]
+    frame = spark.createDataFrame(rows, "ord long, hi long, lo long, folder string")
+    distance = lambda x, y: (x[1] ^ y[1]).bit_count() + (x[2] ^ y[2]).bit_count()
+    want = {(x[0], y[0], distance(x, y)) for x in rows for y in rows if x[0] < y[0] and distance(x, y) <= (8 if x[3] == y[3] else 4)}
+    first = {r.ord: r.first for r in dedup.members(frame).collect()}
+    assert set(first) == {r[0] for r in rows}
+    near = {(a, b): d for a, b, d in dedup.hamming_pairs(dedup.representatives(frame), 8, 4).collect()}
+    near |= {(f, f): 0 for f in first.values()}
+    got = {(a, b, near[min(p), max(p)]) for a in first for b in first if a < b and (min(p := (first[a], first[b])), max(p)) in near}
+    assert got == want and len(want) > len(near)
+
+
 def test_components_of_a_chain(spark):
     frame = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in dedup.components(frame).collect()}
