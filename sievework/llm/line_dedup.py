@@ -1,10 +1,12 @@
 """Line deduplication by pairwise alignment.
 
 Equal texts are one class; its smallest id keeps the text, the others lose every line. Among classes, a line of
-MIN_CHARS characters or more that its document has once is an anchor, and the earliest document with it owns it. Each
-later document is aligned with the owners of its anchors, the rarest anchor's owner first, by patience diff: common
-ends, then lines unique in both by their longest increasing run, then the gaps between these. Maximal runs of aligned
-lines that hold a line of MIN_CHARS are deleted from the later document. Since an anchor leads to its owner alone, the
+MIN_CHARS characters or more is an anchor, and so is a window: from any line on, the fewest consecutive shorter lines
+that have MIN_CHARS characters together. The earliest document with an anchor owns it. Each later document is aligned
+with the owners of its anchors, the rarest anchor's owner first, by patience diff: common ends, then lines unique in
+both by their longest increasing run, then the gaps between these; gaps without such lines by a longest common
+subsequence. Maximal runs of aligned lines that have MIN_CHARS characters together are deleted from the later document,
+and so are its further copies of the long lines and windows of these. Since an anchor leads to its owner alone, the
 pairs are at most as many as the anchors, however common a line is.
 
 Lines end at LF and are compared without white space at their ends. Earlier is by (doc_id, text digest), null ids last.
@@ -28,7 +30,9 @@ from .common import materialise
 from .textvec import U, pieces, span_hashes, word_spans
 
 MIN_CHARS = 20
-BLANK, SHORT, LONG = 0, 1, 2  # the two low bits of a line's hash
+BLANK, SHORT, LONG, WINDOW = 0, 1, 2, 3  # the two low bits of a line's or a window's hash
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+LCS_BITS = 1 << 28  # rows kept at once to trace a common subsequence back
 LAST_ID = (1 << 63) - 1
 
 
@@ -36,8 +40,9 @@ def digest(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
-def line_hashes(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
-    """For each row, a hash for each line; the low two bits tell blank, short and long lines."""
+def line_hashes(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row, a hash for each line, whose low two bits tell blank, short and long lines, and its characters up to
+    MIN_CHARS."""
     starts, ends, _ = word_spans(data, off)
     for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
         cuts = np.flatnonzero(data[a:b] == 10) + a
@@ -47,26 +52,48 @@ def line_hashes(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
         full = (first <= last) & (first < len(starts))
         s, e = starts[first[full]], ends[last[full]]
         chars = np.cumsum(np.r_[0, (data[a:b] & 0xC0) != 0x80])
-        long = chars[e - a] - chars[s - a] >= MIN_CHARS
+        size = np.zeros(len(begin), np.uint8)
+        size[full] = np.minimum(chars[e - a] - chars[s - a], MIN_CHARS)
+        long = size[full] == MIN_CHARS
         hashes = span_hashes(data[a:b], s - a, e - a, fold=False)
         out[full] = hashes & ~U(3) | np.where(long, U(LONG), U(SHORT))
-        yield out
+        yield out, size
+
+
+def windows(lines: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first line and end of each window of short lines."""
+    total = np.r_[0, np.cumsum(size, dtype=np.int64)]
+    first = np.flatnonzero(lines & U(3) == U(SHORT))
+    end = np.searchsorted(total, total[first] + MIN_CHARS)
+    inside = end <= len(lines)
+    first, end = first[inside], end[inside]
+    short = lines[end - 1] & U(3) != U(LONG)
+    first, end = first[short], end[short]
+    if not len(first):
+        return np.zeros(0, np.uint64), first, end
+    power = np.cumprod(np.r_[U(1), np.full(len(lines), U(BASE))], dtype=np.uint64)
+    back = np.cumprod(np.r_[U(1), np.full(len(lines), U(pow(BASE, -1, 1 << 64)))], dtype=np.uint64)
+    mixed = (lines ^ (lines >> U(29))) * U(0xBF58476D1CE4E5B9)
+    prefix = np.r_[U(0), np.cumsum((mixed ^ (mixed >> U(32))) * power[:-1], dtype=np.uint64)]
+    found = (prefix[end] - prefix[first]) * back[first] + (end - first).astype(np.uint64)
+    found = (found ^ (found >> U(31))) * U(0x94D049BB133111EB)
+    return (found ^ (found >> U(29))) & ~U(3) | U(WINDOW), first, end
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(1)
-        lines = [x.tobytes() for _, _, data, off in pieces(column) for x in line_hashes(data, off)]
+        both = [(x.tobytes(), n.tobytes()) for _, _, data, off in pieces(column) for x, n in line_hashes(data, off)]
         digests = [hashlib.sha256(t.encode()).digest()[:16] for t in column.to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(lines, pa.binary())], ["ord", "digest", "lines"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array([x[i] for x in both], pa.binary()) for i in range(2))], ["ord", "digest", "lines", "size"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ords, digests, found = [], [], []
-        for ord_, dig, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            line, count = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
-            line = line[(count == 1) & (line & U(3) == U(LONG))]
+        for ord_, dig, raw, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            line = np.frombuffer(raw, np.uint64)
+            line = np.unique(np.r_[line[line & U(3) == U(LONG)], windows(line, np.frombuffer(size, np.uint8))[0]])
             found.append(line), ords.append(np.full(len(line), ord_)), digests.extend([dig] * len(line))
         if digests:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ords).astype(np.int64)), pa.array(digests, pa.binary())], ["line", "ord", "digest"])
@@ -93,6 +120,64 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _lcs_rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each item of a, an integer whose bit j is 0 where the longest common subsequence with b[: j + 1] grows."""
+    masks: dict[int, int] = {}
+    for x, bits in _places(b).items():
+        row = np.zeros(len(b), np.uint8)
+        row[bits] = 1
+        masks[x] = int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little")
+    full = (1 << len(b)) - 1
+    now = full
+    for x in a:
+        hit = now & masks.get(x, 0)
+        now = ((now + hit) | (now - hit)) & full
+        yield now
+
+
+def _places(b: list[int]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        out.setdefault(x, []).append(j)
+    return out
+
+
+def common_subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence as aligned places, by bit vectors; a is halved until the kept rows are few."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, m, j, n = todo.pop()
+        here, there = set(a[i:m]), set(b[j:n])
+        p, q = [k for k in range(i, m) if a[k] in there], [k for k in range(j, n) if b[k] in here]
+        x, y = [a[k] for k in p], [b[k] for k in q]
+        if not x:
+            continue
+        if len(x) > 1 and len(x) * len(y) > LCS_BITS:
+            mid = len(x) // 2
+            grown = []
+            for part, other in ((x[:mid], y), (x[mid:][::-1], y[::-1])):
+                for row in _lcs_rows(part, other):
+                    last = row
+                bits = np.unpackbits(np.frombuffer(last.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+                grown.append(np.r_[0, np.cumsum(bits == 0)])
+            cut = int(np.argmax(grown[0] + grown[1][::-1]))
+            at = q[cut] if cut < len(q) else n
+            todo += [(i, p[mid], j, at), (p[mid], m, at, n)]
+            continue
+        rows = [r.to_bytes(len(y) // 8 + 1, "little") for r in _lcs_rows(x, y)]
+        r, c = len(x), len(y)
+        while r and c:
+            if rows[r - 1][(c - 1) >> 3] >> ((c - 1) & 7) & 1:
+                c -= 1
+                continue
+            r -= 1
+            if r == 0 or rows[r - 1][(c - 1) >> 3] >> ((c - 1) & 7) & 1:
+                c -= 1
+                out.append((p[r], q[c]))
+    return sorted(out)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned line numbers of two documents, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -121,17 +206,19 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             i, j = k + 1, p + 1
         if chain:
             todo.append((i, m, j, n))
+        else:
+            out += [(i + k, j + p) for k, p in common_subsequence(a[i:m], b[j:n])]
     return sorted(out)
 
 
-def aligned_blocks(pairs: list[tuple[int, int]], a: list[int]) -> list[int]:
-    """Lines of a in maximal aligned runs that hold a long line."""
+def aligned_blocks(pairs: list[tuple[int, int]], a: list[int], size: list[int] | None = None) -> list[int]:
+    """Lines of a in maximal aligned runs that hold a long line or, with sizes, MIN_CHARS characters in all."""
     out: list[int] = []
     run: list[int] = []
     before = None
     for pair in [*pairs, None]:
         if run and (pair is None or pair != (before[0] + 1, before[1] + 1)):
-            if any(a[i] & 3 == LONG for i in run):
+            if any(a[i] & 3 == LONG for i in run) or (size and sum(size[i] for i in run) >= MIN_CHARS):
                 out += run
             run = []
         if pair:
@@ -140,28 +227,59 @@ def aligned_blocks(pairs: list[tuple[int, int]], a: list[int]) -> list[int]:
     return out
 
 
+def flag_copies(own: list[int], spans: list[tuple[int, int, int]], gone: list[bool]) -> None:
+    """Flags the further copies, in the same document, of the long lines and windows that are gone, with equal neighbours."""
+    at: dict[int, int] = {}
+    for i, x in enumerate(own):
+        if gone[i] and x & 3 == LONG:
+            at.setdefault(x, i)
+    lost = np.r_[0, np.cumsum(gone)]
+    whole = lambda i, j: lost[j] - lost[i] == j - i
+    places = {x: i for x, i, j in spans if whole(i, j)}
+    copies = [(i, i + 1, at[x]) for i, x in enumerate(own) if x in at and not gone[i]]
+    copies += [(i, j, places[x]) for x, i, j in spans if x in places and not whole(i, j) and own[i:j] == own[places[x] : places[x] + j - i]]
+    before = list(gone)
+    for i, j, p in copies:
+        gone[i:j] = [True] * (j - i)
+        for k, q, step in ((i - 1, p - 1, -1), (j, p + j - i, 1)):
+            while 0 <= min(k, q) and max(k, q) < len(own) and before[q] and not gone[k] and own[k] == own[q]:
+                gone[k] = True
+                k, q = k + step, q + step
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (later, df, later_lines, owner_lines) sorted by later and df -> (digest, gone: one flag for each line)."""
+    """Rows (later, df, later_lines, owner_lines, later_size) sorted by later and df -> (digest, gone: one flag for each line)."""
     now, own, mine, gone = None, [], set(), []
+    size, spans = [], []
+
+    def left() -> set[int]:
+        """Lines that may still go: long ones, and short ones of a window."""
+        out = {x for x, g in zip(own, gone, strict=True) if not g and x & 3 == LONG}
+        for _, i, j in spans:
+            out.update(own[k] for k in range(i, j) if not gone[k] and own[k])
+        return out
 
     def done() -> None:
         digests.append(now), flags.append(gone)
 
     for batch in batches:
         digests, flags = [], []
-        for later, raw, other in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+        for later, raw, other, chars in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
             if later != now:
                 if now is not None:
                     done()
-                now, own = later, np.frombuffer(raw.as_buffer(), np.uint64).tolist()
+                lines, n = np.frombuffer(raw.as_buffer(), np.uint64), np.frombuffer(chars.as_buffer(), np.uint8)
+                now, own, size = later, lines.tolist(), n.tolist()
+                spans = list(zip(*(x.tolist() for x in windows(lines, n)), strict=True))
                 gone = [False] * len(own)
-                mine = set(x for x in own if x & 3 == LONG)
+                mine = left()
             b = np.frombuffer(other.as_buffer(), np.uint64).tolist()
             if mine.isdisjoint(b):
                 continue  # rarer anchors' owners have taken all
-            for i in aligned_blocks(patience(own, b), own):
+            for i in aligned_blocks(patience(own, b), own, size):
                 gone[i] = True
-            mine = set(x for x, g in zip(own, gone, strict=True) if not g and x & 3 == LONG)
+            flag_copies(own, spans, gone)
+            mine = left()
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(flags, pa.list_(pa.bool_()))], ["digest", "gone"])
     if now is not None:
         digests, flags = [], []
@@ -172,18 +290,18 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removals(docs: DataFrame) -> DataFrame:
     """digest, first_ord, gone (flags by line of the first copy, null: none) of classes that lose lines or have copies."""
     rows = docs.where("text <> ''").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("ord"), "text")
-    rows = rows.mapInArrow(_lines, "ord long, digest binary, lines binary")
-    classes = rows.groupBy("digest").agg(F.min("ord").alias("ord"), F.max("lines").alias("lines"), F.max("ord").alias("last"))
+    rows = rows.mapInArrow(_lines, "ord long, digest binary, lines binary, size binary")
+    classes = rows.groupBy("digest").agg(F.min("ord").alias("ord"), F.max("lines").alias("lines"), F.max("size").alias("size"), F.max("ord").alias("last"))
     classes = materialise(classes, "classes")
-    anchors = materialise(classes.select("ord", "digest", "lines").mapInArrow(_anchors, "line long, ord long, digest binary"), "anchors")
+    anchors = materialise(classes.select("ord", "digest", "lines", "size").mapInArrow(_anchors, "line long, ord long, digest binary"), "anchors")
     owner = anchors.groupBy("line").agg(F.min(F.struct("ord", "digest")).alias("o"), F.count("*").alias("df")).where("df > 1")
     # written out, so that the join deals both sides anew and can split a very common line
     owner = materialise(owner.select("line", F.col("o.digest").alias("owner"), "df"), "owners")
     pairs = anchors.join(owner, "line").where("digest <> owner").groupBy(F.col("digest").alias("later"), "owner").agg(F.min("df").alias("df"))
-    lines = classes.select("digest", "lines")
+    lines = classes.select("digest", "lines", "size")
     both = pairs.join(lines.select(F.col("digest").alias("owner"), F.col("lines").alias("owner_lines")), "owner")
-    both = both.join(lines.select(F.col("digest").alias("later"), F.col("lines").alias("later_lines")), "later")
-    both = both.select("later", "df", "later_lines", "owner_lines").repartition("later").sortWithinPartitions("later", "df", "owner_lines")
+    both = both.join(lines.select(F.col("digest").alias("later"), F.col("lines").alias("later_lines"), F.col("size").alias("later_size")), "later")
+    both = both.select("later", "df", "later_lines", "owner_lines", "later_size").repartition("later").sortWithinPartitions("later", "df", "owner_lines")
     gone = both.mapInArrow(_align, "digest binary, gone array<boolean>").where(F.exists("gone", lambda g: g))
     return classes.select("digest", F.col("ord").alias("first_ord"), "last").join(gone, "digest", "left").where("gone IS NOT NULL OR last > first_ord").drop("last")
 

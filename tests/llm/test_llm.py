@@ -277,6 +277,35 @@ def test_patience_is_increasing_and_equal():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
 
 
+def test_lines_that_repeat_or_are_short(spark):
+    rng = random.Random(5)
+    line = lambda: prose(rng, 8, 100_000)
+    frame_line, passage = "the same long line at both ends", [line() for _ in range(4)]
+    verse = [f"{rng.randrange(10**6)} short {i}" for i in range(30)]
+    cases = [(10 + i, [frame_line, line(), line(), frame_line], 2 if i else 0) for i in range(5)]
+    cases += [(20, [line(), *passage, line()], 0), (21, [line(), *passage, line(), *passage, line()], 8)]
+    cases += [(30, [line(), *verse, line()], 0), (31, ["a", *verse, "b"], 30), (32, ["c", *verse, "d", *verse], 60)]
+    cases += [(40, [x for p in passage[:2] for x in ("q", p + "!", p + "!")], 0), (41, [*[passage[0] + "!"] * 3, "z", *[passage[1] + "!"] * 3], 6)]
+    cases += [(50, ["x1", "y1", "z1"], 0), (51, ["x1", "y1", "w1"], 0)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame([(d, "\n".join(x)) for d, x, _ in cases], "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d: n for d, _, n in cases}
+
+
+def test_common_subsequence_is_longest(monkeypatch):
+    rng = random.Random(9)
+    for bits in (1 << 28, 8):
+        monkeypatch.setattr(line_dedup, "LCS_BITS", bits)
+        for _ in range(200):
+            a, b = ([rng.randrange(4) for _ in range(rng.randrange(20))] for _ in range(2))
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+            pairs = line_dedup.common_subsequence(a, b)
+            assert len(pairs) == table[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 
