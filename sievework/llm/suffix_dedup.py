@@ -5,7 +5,7 @@ anchors at equal places, so all that equal windows can share lies in the segment
 anchor occurs once in the corpus are dropped before any text moves; equal texts are one class throughout.
 
 Suffix arrays. Of an anchor's segments, equal ones are one. The others are aligned at the anchor, cut back to the
-longest match that any other has on either side, and written as short strings of verified block identifiers, the blocks
+longest match that any other has on either side, and written as short strings of 64-bit block identifiers, the blocks
 ending where matches end. The strings of many anchors form one string whose suffix array is built by processing groups
 of suffixes of equal Lyndon prefix in descending order, moving the suffixes that previous-smaller pointers lead to
 behind their groups, and then emitting each group in order through the same pointers: linear, without recursion. A
