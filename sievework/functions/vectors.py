@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,25 +38,28 @@ def hamming(high_a: Column, low_a: Column, high_b: Column, low_b: Column) -> Col
     return F.bit_count(high_a.bitwiseXOR(high_b)) + F.bit_count(low_a.bitwiseXOR(low_b))
 
 
-def sign_bits(vector: Column, first: int, last: int) -> Column:
-    """Bits first..last-1 of a vector's signs as one number, the first the highest."""
-    return F.aggregate(F.transform(F.slice(vector, first + 1, last - first), lambda x: F.when(x > 0, 1).otherwise(0).cast("long")), F.lit(0).cast("long"), lambda s, x: s * 2 + x)
+def band_cuts(count: int) -> list[int]:
+    return [round(i * 64 / count) for i in range(count + 1)]
 
 
-def bands(high: Column, low: Column, count: int) -> Column:
-    """The 64 bits in `count` bands (index, value): within Hamming distance count - 1, two hashes share one."""
-    cuts = [round(i * 64 / count) for i in range(count + 1)]
+def bands(high: Column, low: Column, count: int) -> list[Column]:
+    """The 64 bits in `count` bands, as numbers: hashes within distance d have one with d // count differences at most."""
+    cuts = band_cuts(count)
 
     def bits(word: Column, first: int, last: int) -> Column:  # of the 32 bits, the first the highest
         return F.shiftright(word, 32 - last).bitwiseAND(F.lit((1 << (last - first)) - 1).cast("long"))
 
     out = []
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+    for a, b in zip(cuts, cuts[1:], strict=False):
         if b <= 32:
-            value = bits(high, a, b)
+            out.append(bits(high, a, b))
         elif a >= 32:
-            value = bits(low, a - 32, b - 32)
+            out.append(bits(low, a - 32, b - 32))
         else:
-            value = F.shiftleft(bits(high, a, 32), b - 32).bitwiseOR(bits(low, 0, b - 32))
-        out.append(F.struct(F.lit(i).alias("band"), value.alias("value")))
-    return F.array(*out)
+            out.append(F.shiftleft(bits(high, a, 32), b - 32).bitwiseOR(bits(low, 0, b - 32)))
+    return out
+
+
+def flips(width: int, most: int) -> list[int]:
+    """All numbers of `width` bits with at most `most` ones."""
+    return [sum(1 << i for i in ones) for n in range(most + 1) for ones in itertools.combinations(range(width), n)]

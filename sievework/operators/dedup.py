@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..params import DEFAULT, Params
+from ..sources.scratch import stage
+from .components import connected_components
 
 ID_BLOCK = 1 << 33
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the folder that all executors share, and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="sievework-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def global_index(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """df with its 0-based place in a total order, without a single-task sort: range partitions, then their offsets."""
     parted = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
@@ -56,27 +41,51 @@ def members(rows: DataFrame, folder: str = "folder") -> DataFrame:
     return rows.join(first, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & F.col(folder).eqNullSafe(F.col("f"))).select("ord", "first")
 
 
-def hamming_pairs(rows: DataFrame, same: int, cross: int | None = None, folder: str = "folder") -> DataFrame:
-    """a, b, distance of rows (ord, hi, lo, folder): within `same` in one folder, within `cross` across folders.
+#: Bands that a hash is cut in: about 21 bits each, so that unlike hashes seldom meet.
+BANDS = 3
 
-    By the pigeonhole principle hashes within distance d share one of d + 1 bands of bits, so the pairs come from
-    equi-joins on bands, within a folder also on the folder, and are verified on all 64 bits. Give it representatives()
-    where many rows have one hash.
-    """
 
-    def joined(limit: int, inside: bool) -> DataFrame:
-        with_bands = rows.withColumn("band", F.explode(vectors.bands(F.col("hi"), F.col("lo"), limit + 1)))
-        names = ["ord", "hi", "lo", folder]
-        keys = ["k", "v", "f"] if inside else ["k", "v"]
-        key_columns = [F.col("band.band").alias("k"), F.col("band.value").alias("v")] + ([F.col(folder).alias("f")] if inside else [])
-        left = with_bands.select(*[F.col(c).alias(f"{c}_a") for c in names], *key_columns)
-        right = with_bands.select(*[F.col(c).alias(f"{c}_b") for c in names], *key_columns)
-        distance = vectors.hamming(F.col("hi_a"), F.col("lo_a"), F.col("hi_b"), F.col("lo_b"))
-        found = left.join(right, keys).where(F.col("ord_a") < F.col("ord_b")).withColumn("distance", distance).where(F.col("distance") <= limit)
-        return found.select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), F.col("distance").cast("int").alias("distance"))
+def _near(rows: DataFrame, limit: int, folder: str, inside: bool) -> DataFrame:
+    """a, b, distance (a < b) of rows within the limit, in one folder or in different ones; each pair once."""
+    names = ["ord", "hi", "lo", folder]
+    most = limit // BANDS
+    cuts = vectors.band_cuts(BANDS)
+    own = vectors.bands(F.col("hi"), F.col("lo"), BANDS)
+    exact = F.array(*[F.struct(F.lit(i).alias("k"), v.alias("v")) for i, v in enumerate(own)])
+
+    def around(i: int) -> Column:
+        masks = F.array(*[F.lit(x).cast("long") for x in vectors.flips(cuts[i + 1] - cuts[i], most)])
+        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("k"), own[i].bitwiseXOR(m).alias("v")))
+
+    def side(values: Column, tag: str) -> DataFrame:
+        exploded = rows.withColumn("__band", F.explode(values))
+        return exploded.select(*[F.col(c).alias(f"{c}_{tag}") for c in names], "__band.k", "__band.v", *([F.col(folder).alias("f")] if inside else []))
 
-    out = joined(same, True)
-    return (out if cross is None else out.unionByName(joined(cross, False))).distinct()
+    found = side(exact, "a").join(side(F.concat(*map(around, range(BANDS))), "b"), ["k", "v", "f"] if inside else ["k", "v"]).where("ord_a < ord_b")
+    if not inside:
+        found = found.where(~F.col(f"{folder}_a").eqNullSafe(F.col(f"{folder}_b")) | F.col(f"{folder}_a").isNull())
+    distance = vectors.hamming(F.col("hi_a"), F.col("lo_a"), F.col("hi_b"), F.col("lo_b"))
+    # the first band that is near enough gives the pair
+    differ = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(*(vectors.bands(F.col(f"hi_{t}"), F.col(f"lo_{t}"), BANDS) for t in "ab"), strict=True)]
+    before = F.lit(True)
+    for i in range(BANDS - 1):
+        before = before & ((F.col("k") <= i) | (differ[i] > most))
+    found = found.withColumn("distance", distance.cast("int")).where((F.col("distance") <= limit) & before)
+    return found.select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), "distance")
+
+
+def hamming_pairs(rows: DataFrame, same: int, cross: int | None = None, folder: str = "folder") -> DataFrame:
+    """a, b, distance of rows (ord, hi, lo, folder): within `same` in one folder, within `cross` across folders (a missing
+    folder is like none).
+
+    Of BANDS bands of bits, hashes within distance d have one with d // BANDS differences at most (pigeonhole). So one
+    side gives its bands, the other each of its bands with up to that many bits flipped, the pairs come from an equi-join
+    on wide bands, within a folder also on the folder, and are verified on all 64 bits. Give it representatives() where
+    many rows have one hash.
+    """
+    rows = stage(rows.select("ord", "hi", "lo", folder), "hashes")  # both sides read it
+    out = _near(rows, same, folder, True)
+    return out if cross is None else out.unionByName(_near(rows, cross, folder, False))
 
 
 def hamming_links(rows: DataFrame, same: int, cross: int | None = None, folder: str = "folder") -> DataFrame:
@@ -86,26 +95,6 @@ def hamming_links(rows: DataFrame, same: int, cross: int | None = None, folder:
     return star.unionByName(hamming_pairs(first, same, cross, folder).select("a", "b"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root (smallest reachable node) over edges (a, b), by alternating star contraction; rounds are written out."""
-    links = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
-    for _ in range(max_rounds):
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        links = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        links = stage(links, "round")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def first_of(rows: DataFrame, group: str, *order: Column) -> DataFrame:
     """The first row of each group; each task passes on one row for a group, so large groups don't meet in one."""
     return rows.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("__place = 1").drop("__place")
@@ -113,9 +102,9 @@ def first_of(rows: DataFrame, group: str, *order: Column) -> DataFrame:
 
 def clusters(rows: DataFrame, pairs: DataFrame, *best: Column) -> DataFrame:
     """rows with cluster_id (by first member, null for singletons) and is_best by the order `best`, then ord."""
-    found = components(pairs)
-    roots = global_index(found.select("root").distinct(), "cluster_id", "root").select("root", (F.col("cluster_id") + 1).cast("int").alias("cluster_id"))
-    named = found.join(roots, "root").select(F.col("node").alias("ord"), "cluster_id")
+    found = connected_components(pairs)
+    roots = global_index(found.select("comp").distinct(), "cluster_id", "comp").select("comp", (F.col("cluster_id") + 1).cast("int").alias("cluster_id"))
+    named = found.join(roots, "comp").select(F.col("node").alias("ord"), "cluster_id")
     joined = rows.join(named, "ord", "left")
     chosen = first_of(joined.where("cluster_id IS NOT NULL"), "cluster_id", *best, F.asc("ord")).select("ord", F.lit(True).alias("__best"))
     joined = joined.join(chosen, "ord", "left")

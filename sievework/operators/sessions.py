@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..params import DEFAULT, Params
+from .dedup import global_index
 
 
 def minutes(n: int) -> Column:
@@ -49,7 +50,7 @@ def fallback_moments(rows: DataFrame, path: str, tie: str, p: Params = DEFAULT)
     """rows with moment_label from the parent folder and moment_id from 10001 on in the order labels first appear."""
     labelled = rows.withColumn("moment_label", paths.folder_label(F.col(path), p.unknown))
     labels = labelled.groupBy("moment_label").agg(F.min(tie).alias("__first"))
-    ids = labels.withColumn("moment_id", (F.row_number().over(Window.orderBy("__first")) + p.fallback_base).cast("int")).drop("__first")
+    ids = global_index(labels, "__n", "__first").select("moment_label", (F.col("__n") + 1 + p.fallback_base).cast("int").alias("moment_id"))
     return labelled.join(ids, "moment_label")
 
 
@@ -113,8 +114,6 @@ def burst_keepers(rows: DataFrame, group: list[str], kind: str = "primary_shot_t
 def apply_bursts(records: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Records with burst_group_id (from 1 by first row; singletons have none), burst_pos_rank and rejected_burst."""
     from ..functions.tiers import is_alive
-    from .dedup import global_index
-
     rows = burst_groups(records.where(is_alive(F.col("status"))), p).where("burst_size > 1")
     firsts = rows.groupBy("moment_id").agg(F.min("ord").alias("first"))
     ids = rows.select("moment_id", "burst").distinct().join(firsts, "moment_id")
