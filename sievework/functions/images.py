@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,8 @@ from ..params import DEFAULT
 
 METRICS = "blur_score double, exposure_mean double, phash string"
 HASH_SIDE, HASH_KEEP = 32, 8
+#: Longer side of pictures that models get, and the grid of the salient point.
+MODEL_SIDE, SALIENCY_SIDE = 1024, 64
 
 
 def gray(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -29,10 +32,10 @@ def laplacian_variance(image: np.ndarray) -> float:
     return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * image).var())
 
 
-def shrink(image: np.ndarray, side: int) -> np.ndarray:
-    """Area mean on a side x side grid."""
+def shrink(image: np.ndarray, rows: int, columns: int | None = None) -> np.ndarray:
+    """Area mean on a grid of rows x columns (square by default)."""
     out = image
-    for axis in (0, 1):
+    for axis, side in ((0, rows), (1, columns or rows)):
         n = out.shape[axis]
         edges = np.linspace(0, n, side + 1)
         total = np.concatenate([np.zeros_like(out.take([0], axis)), np.cumsum(out, axis)], axis)
@@ -130,6 +133,63 @@ def header_facts(head: Column) -> Column:
     return F.pandas_udf(_facts, "width int, height int, original string, changed string")(head)
 
 
+def png(pixels: np.ndarray) -> bytes:
+    """8-bit gray (height, width) or RGB (height, width, 3) pixels as a PNG file, so that models get one format."""
+    pixels = np.clip(np.rint(pixels), 0, 255).astype(np.uint8)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    height, width = pixels.shape[:2]
+    lines = np.c_[np.zeros((height, 1), np.uint8), pixels.reshape(height, -1)].tobytes()
+    header = struct.pack(">IIBBBBB", width, height, 8, 2 if pixels.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
+
+
+def bounded(data: bytes, height: int, width: int, channels: int, side: int) -> np.ndarray:
+    """RGB pixels of a BGR(A) or gray picture, its longer side at most `side`, by area mean."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64)
+    pixels = np.repeat(pixels, 3, 2) if channels == 1 else pixels[:, :, 2::-1]
+    scale = min(1.0, side / max(height, width))
+    if scale == 1:
+        return pixels
+    return np.stack([shrink(pixels[:, :, c], max(1, round(height * scale)), max(1, round(width * scale))) for c in range(3)], 2)
+
+
+def encoded(data: Column, height: Column, width: Column, channels: Column, side: int = MODEL_SIDE) -> Column:
+    """The picture as PNG bytes for a model, its longer side at most `side`; null if it was not decoded."""
+
+    def run(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
+        return pd.Series([png(bounded(d, h, w, c, side)) if d and h > 0 else None for d, h, w, c in zip(data, height, width, channels, strict=True)])
+
+    return F.pandas_udf(run, "binary")(data, height, width, channels)
+
+
+def salient_point(image: np.ndarray) -> tuple[float, float]:
+    """x, y of the most salient point by the spectral residual: the part of the log spectrum that its 3 x 3 mean does not
+    foretell, back in space, squared and smoothed (Hou and Zhang 2007)."""
+    height, width = image.shape
+    small = shrink(image, SALIENCY_SIDE, SALIENCY_SIDE)
+    spectrum = np.fft.fft2(small)
+    log = np.log(np.abs(spectrum) + 1e-9)
+    around = np.pad(log, 1, "edge")
+    mean = sum(around[i : i + SALIENCY_SIDE, j : j + SALIENCY_SIDE] for i in range(3) for j in range(3)) / 9
+    found = np.abs(np.fft.ifft2(np.exp(log - mean + 1j * np.angle(spectrum)))) ** 2
+    ramp = np.exp(-(np.arange(-4, 5) ** 2) / (2 * 2.5**2))
+    ramp /= ramp.sum()
+    for axis in (0, 1):
+        found = np.apply_along_axis(lambda v: np.convolve(np.pad(v, 4, "edge"), ramp, "valid"), axis, found)
+    y, x = np.unravel_index(int(found.argmax()), found.shape)
+    return (x + 0.5) * width / SALIENCY_SIDE, (y + 0.5) * height / SALIENCY_SIDE
+
+
+def salient_points(data: Column, height: Column, width: Column, channels: Column) -> Column:
+    """Struct of peak_x, peak_y in the picture's pixels; nulls if it was not decoded."""
+
+    def run(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.DataFrame:
+        rows = [salient_point(gray(d, h, w, c)) if d and h > 0 else (None, None) for d, h, w, c in zip(data, height, width, channels, strict=True)]
+        return pd.DataFrame(rows, columns=["peak_x", "peak_y"])
+
+    return F.pandas_udf(run, "peak_x double, peak_y double")(data, height, width, channels)
+
+
 def contact_sheet(pictures: list[np.ndarray], columns: int = 2, side: int = 300) -> np.ndarray:
     """Gray pictures, each shrunk to a square cell, in rows of `columns`; empty cells are black."""
     rows = -(-len(pictures) // columns)

@@ -38,11 +38,6 @@ def when_alive(df: DataFrame, values: dict[str, Column], dead: dict[str, Column]
     return df.withColumns({name: F.when(alive, value).otherwise(dead.get(name, F.lit(None))) for name, value in values.items()})
 
 
-def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
-    """Keeps what a column has and fills the rest; absent columns are made."""
-    return df.withColumns({name: F.coalesce(F.col(name), value) if name in df.columns else value for name, value in defaults.items()})
-
-
 def aspect_ratio(width: Column, height: Column) -> Column:
     return width / F.greatest(height, F.lit(1))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,8 +18,33 @@ from . import similarity
 FACE = "struct<x:int,y:int,w:int,h:int,embedding:array<double>,smile:double,eyes:int>"
 
 
-def detect(rows: DataFrame, load: Callable[[], Callable[[bytes], list[dict]]], content: str = "content") -> DataFrame:
-    """path, faces, failed: faces by a detector that is loaded once in each worker; a failure has null faces."""
+#: Seconds after which a detection counts as failed.
+TIMEOUT_S = 60.0
+
+
+def within(call: Callable, value, seconds: float):
+    """call(value), or TimeoutError; a call that is too late is left behind in a thread that does not hold up the worker."""
+    out: queue.Queue = queue.Queue(1)
+
+    def run() -> None:
+        try:
+            out.put((call(value), None))
+        except Exception as error:
+            out.put((None, error))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        found, error = out.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError from None
+    if error is not None:
+        raise error
+    return found
+
+
+def detect(rows: DataFrame, load: Callable[[], Callable[[bytes], list[dict]]], content: str = "content", timeout: float = TIMEOUT_S) -> DataFrame:
+    """path, faces, failed: faces by a detector that is loaded once in each worker; a failure or a call over the timeout has
+    null faces."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = load()
@@ -25,7 +52,7 @@ def detect(rows: DataFrame, load: Callable[[], Callable[[bytes], list[dict]]], c
             faces, failed = [], []
             for value in batch[content]:
                 try:
-                    faces.append(find(bytes(value)))
+                    faces.append(within(find, bytes(value), timeout))
                     failed.append(False)
                 except Exception:
                     faces.append(None)
@@ -42,6 +69,34 @@ def resumed(rows: DataFrame, done: DataFrame | None, load: Callable, content: st
     return done.unionByName(detect(pending(rows, done.where("NOT failed")), load, content))
 
 
+def embedded(rows: DataFrame, load: Callable[[], Callable[[bytes], list[float]]], content: str = "content") -> DataFrame:
+    """path, embedding: vectors by an embedder that is loaded once in each worker; null where it fails."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed = load()
+        for batch in batches:
+            out = []
+            for value in batch[content]:
+                try:
+                    out.append([float(x) for x in embed(bytes(value))])
+                except Exception:
+                    out.append(None)
+            yield pd.DataFrame({"path": batch["path"], "embedding": out})
+
+    return rows.select("path", content).mapInPandas(run, "path string, embedding array<float>")
+
+
+def enrolled(pictures: DataFrame, name: str, load: Callable, content: str = "content") -> DataFrame:
+    """name, embedding, sources: the centroid of the pictures' faces; a picture without exactly one face is an error."""
+    found = detect(pictures, load, content).select("path", F.when((~F.col("failed")) & (F.size("faces") == 1), F.get("faces", F.lit(0))["embedding"]).alias("embedding"))
+    wrong = found.where("embedding IS NULL").limit(10).collect()
+    if wrong:
+        raise ValueError(f"not exactly one face in {', '.join(r.path for r in wrong)}")
+    center = similarity.centroids(found.withColumn("name", F.lit(name)), "name", "embedding")
+    sources = found.agg(F.array_sort(F.collect_list("path")).alias("sources"))  # of one person
+    return center.select("name", F.col("centroid").alias("embedding")).crossJoin(F.broadcast(sources))
+
+
 def matching_enabled(names: list[str], manual: str | None = None) -> bool:
     """Whether persons can be told by face: someone besides the one who is tagged by hand is enrolled."""
     return any(n != manual for n in names)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
-from ..sources.tables import copy_plan
+from ..sources.tables import copy_plan, exists, save_text
 
 RESERVED = frozenset("ADGF")
 MAX_EXTRA = 5
@@ -84,6 +85,32 @@ def export_plan(rows: DataFrame, root: str = "", keep_same_names: bool = True) -
     return copy_plan(approved.unionByName(tagged), keep_same_names)
 
 
+def save_progress(reviews: DataFrame, people: list[dict], path: str) -> None:
+    """Writes a review's progress as one JSON object, whole or not at all: version, persons (letter, name, color) and reviews
+    by path. A review is over the selected rows, a few hundred."""
+    found = {r.path: {"status": r.status, "person_tags": list(r.person_tags or [])} for r in reviews.select("path", "status", "person_tags").toLocalIterator()}
+    save_text(reviews.sparkSession, json.dumps({"version": 1, "persons": people, "reviews": found}, indent=2), path)
+
+
+def read_progress(spark: SparkSession, path: str) -> tuple[list[dict], DataFrame] | None:
+    """Persons and reviews (path, status, person_tags) of a saved review; None if there is none that can be read."""
+    if not exists(spark, path):
+        return None
+    kind = "persons array<struct<letter:string,name:string,color:string>>, reviews map<string,struct<status:string,person_tags:array<string>>>"
+    saved = spark.read.schema(f"version int, {kind}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    first = saved.select("persons", "_corrupt", F.col("reviews").isNotNull().alias("whole")).first()
+    if first is None or first["_corrupt"] is not None or not first.whole:
+        return None
+    rows = saved.select(F.explode("reviews").alias("path", "r")).select("path", "r.status", F.coalesce("r.person_tags", F.array().cast("array<string>")).alias("person_tags"))
+    return [p.asDict() for p in first.persons or []], rows
+
+
+def resume_counts(rows: DataFrame, reviews: DataFrame) -> DataFrame:
+    """reviewed, remaining of the rows to review."""
+    done = reviews.agg(F.count_if(F.col("status") != "unreviewed").alias("reviewed"))
+    return rows.agg(F.count("*").alias("n")).crossJoin(F.broadcast(done)).select("reviewed", (F.col("n") - F.col("reviewed")).alias("remaining"))  # one row each
+
+
 @dataclass
 class People:
     """Extra people of a review: a letter that is free and a name each."""

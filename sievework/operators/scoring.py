@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import replies, scores, tiers
+from ..functions import images, replies, scores, tiers
 from ..params import DEFAULT, Params
 
 
@@ -24,69 +24,100 @@ class Scorer:
     on_failure: float | None = None
 
 
-def stub(name: str) -> Scorer:
+def stub(name: str, on_failure: float | None = None) -> Scorer:
     """Deterministic scorer by content digest, for tests and dry runs."""
-    return Scorer(name, lambda: lambda content: int.from_bytes(hashlib.sha256(content).digest()[:4], "big") / 0xFFFFFFFF)
+    return Scorer(name, lambda: lambda content: int.from_bytes(hashlib.sha256(name.encode() + content).digest()[:4], "big") / 0xFFFFFFFF, on_failure)
+
+
+def loaded(scorer: Scorer | None) -> Callable[[bytes], float | None] | None:
+    """The scorer's function with its own value for a failure; None without a model or if it can't be loaded."""
+    if scorer is None:
+        return None
+    try:
+        model = scorer.load()
+    except Exception:
+        return None
+
+    def score(content: bytes) -> float | None:
+        try:
+            found = model(content)
+        except Exception:
+            found = None
+        return scorer.on_failure if found is None else float(found)
+
+    return score
 
 
 def run_scorer(rows: DataFrame, scorer: Scorer, column: str, content: str = "content") -> DataFrame:
     """rows with the scorer's column; a failure gives the scorer's own value for it, null included."""
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            score = scorer.load()
-        except Exception:  # a model that is missing is a failure for every row
-            score = None
+        score = loaded(scorer) or (lambda value: scorer.on_failure)
         for values in series:
-            out = []
-            for value in values:
-                try:
-                    found = score(bytes(value)) if score is not None else None
-                except Exception:
-                    found = None
-                out.append(scorer.on_failure if found is None else found)
-            yield pd.Series(out, dtype="float64")
+            yield pd.Series([score(bytes(value)) for value in values], dtype="float64")
 
     return rows.withColumn(column, F.pandas_udf(run, "double")(F.col(content)))
 
 
-def run_missing(rows: DataFrame, scorer: Scorer, column: str, content: str = "content") -> DataFrame:
-    """As run_scorer, only for rows whose column is null; the others keep their value."""
-    done, todo = rows.where(F.col(column).isNotNull()), rows.where(F.col(column).isNull())
-    return done.unionByName(run_scorer(todo.drop(column), scorer, column, content).select(*rows.columns))
+AESTHETICS = "path string, brisque_score double, laion_score double, laion_method string, nima_score double, nima_method string, musiq_score double"
+
+
+def aesthetics(pictures: DataFrame, brisque: Scorer | None = None, laion: Scorer | None = None, nima: Scorer | None = None, musiq: Scorer | None = None) -> DataFrame:
+    """The AESTHETICS of pictures (path, content), all models in one pass over the contents.
+
+    brisque: 0.5 where it fails or is missing. The laion column has the first model of laion, nima, brisque that loads, and
+    brisque where that raises; its method tells which. musiq: null where it fails or is missing, so the blend leaves it out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, extra = loaded(brisque), loaded(musiq)
+        method, main = next(((n, f) for n, f in (("laion", loaded(laion)), ("nima", loaded(nima))) if f), ("brisque", None))
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                low = base(bytes(content)) if base else None
+                low = round(0.5 if low is None else low, 6)
+                found = main(bytes(content)) if main else None
+                own, value = (method, round(found, 6)) if found is not None else ("brisque", low)
+                more = extra(bytes(content)) if extra else None
+                rows.append((path, low, value, own, value, own, None if more is None else round(more, 6)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in AESTHETICS.split(", ")])
+
+    return pictures.select("path", "content").mapInPandas(run, AESTHETICS)
 
 
 def call_model(rows: DataFrame, ask: Callable[[bytes], str], content: str = "content", attempts: int = 2, breaker: int = 10, pause_s: float = 0.0) -> DataFrame:
-    """rows (path, content) -> path, reply. After `breaker` failures in a row the task fails, so no row is scored as 0."""
+    """rows (path, content) -> path, reply, asked. After `breaker` failures in a row the task asks no more: its further rows
+    have asked = false, so they are open for the next run instead of being scored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         failures = 0
         for batch in batches:
-            out = []
+            out, asked = [], []
             for value in batch[content]:
                 reply = None
-                for _ in range(attempts):
+                asked.append(failures < breaker)
+                for _ in range(attempts if failures < breaker else 0):
                     try:
                         reply = ask(bytes(value))
                         break
                     except Exception:
                         reply = None
                 failures = 0 if reply is not None else failures + 1
-                if failures >= breaker:
-                    raise RuntimeError(f"{breaker} model calls in a row failed")
                 out.append(reply)
             time.sleep(pause_s)
-            yield pd.DataFrame({"path": batch["path"], "reply": out})
+            yield pd.DataFrame({"path": batch["path"], "reply": out, "asked": asked})
 
-    return rows.select("path", content).mapInPandas(run, "path string, reply string")
+    return rows.select("path", content).mapInPandas(run, "path string, reply string, asked boolean")
 
 
-def with_ratings(rows: DataFrame, reply: str = "reply") -> DataFrame:
-    """emotion_score, memorability_score and llava_fallback from a reply; what can't be read is 0.5 and a fallback."""
+def with_ratings(rows: DataFrame, reply: str = "reply", asked: str = "asked") -> DataFrame:
+    """emotion_score, memorability_score and llava_fallback from a reply; what can't be read is 0.5 and a fallback. Rows that
+    were not asked get none."""
     r = replies.ratings(F.col(reply))
-    failed = r["emotion"].isNull() | r["memorability"].isNull()
-    value = lambda n: F.when(failed, 0.5).otherwise(r[n])
-    return rows.withColumns({"emotion_score": value("emotion"), "memorability_score": value("memorability"), "llava_fallback": F.coalesce(failed, F.lit(True))})
+    failed = F.coalesce(r["emotion"].isNull() | r["memorability"].isNull(), F.lit(True))
+    value = lambda n: F.when(F.col(asked), F.when(failed, 0.5).otherwise(F.round(r[n], 6)))
+    return rows.withColumns({"emotion_score": value("emotion"), "memorability_score": value("memorability"), "llava_fallback": F.when(F.col(asked), failed)})
 
 
 def with_aesthetic(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -101,21 +132,50 @@ def with_composition(rows: DataFrame, p: Params = DEFAULT, boxes: str = "face_bb
     return rows.withColumns({"rot_score": F.round(scores.rule_of_thirds(b, w, h, p), 6), "prominence_score": F.round(scores.prominence(b, w, h), 6), "distraction_penalty": penalty})
 
 
+def burst_subsets(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """ord, path, burst_group_id, place, n: the first rows of each burst that is compared, in input order; n rows of it are."""
+    group = Window.partitionBy("burst_group_id")  # a burst of one moment; larger ones are not compared
+    low, high = p.burst_groups
+    placed = rows.where(F.col("burst_group_id").isNotNull() & tiers.is_alive(F.col("status")))
+    placed = placed.select("ord", "path", "burst_group_id", F.row_number().over(group.orderBy("ord")).alias("place"), F.count("*").over(group).alias("size"))
+    placed = placed.where(F.col("size").between(low, high) & (F.col("place") <= p.burst_compare))
+    return placed.select("ord", "path", "burst_group_id", "place", F.least("size", F.lit(p.burst_compare)).cast("int").alias("n"))
+
+
 def compared_bursts(rows: DataFrame, ranks: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """rows with burst_llm_rank and the burst-adjusted emotion; ranks: (burst_group_id, reply), a list for each group.
 
-    Only groups of 2 to 8 rows are compared, by their first four; the list must be as long as that. The raw emotion
-    stays, so a second run does not multiply it again.
+    A list names the places of burst_subsets() from the best on and must be as long as these. The raw emotion stays, so a
+    second run does not multiply it again.
     """
-    group = Window.partitionBy("burst_group_id")
-    low, high = p.burst_groups
-    placed = rows.where("burst_group_id IS NOT NULL").select("ord", "burst_group_id", F.row_number().over(group.orderBy("burst_pos_rank", "ord")).alias("place"), F.count("*").over(group).alias("n"))
-    placed = placed.where(F.col("n").between(low, high) & (F.col("place") <= p.burst_compare))
-    lists = ranks.select("burst_group_id", "reply")
-    joined = placed.join(lists, "burst_group_id").withColumn("ranks", replies.rank_list(F.col("reply"), F.least("n", F.lit(p.burst_compare)).cast("int")))
-    ranked = joined.select("ord", F.get("ranks", F.col("place") - 1).alias("burst_llm_rank"))
-    out = rows.drop("burst_llm_rank").join(ranked, "ord", "left")
-    return out.withColumn("burst_emotion_score", scores.burst_emotion(F.col("burst_llm_rank"), F.col("emotion_score"), p))
+    lists = burst_subsets(rows, p).join(ranks.select("burst_group_id", "reply"), "burst_group_id")
+    lists = lists.withColumn("ranks", replies.rank_list(F.col("reply"), F.col("n")))
+    at = F.transform("ranks", lambda r, i: F.when(r == F.col("place"), i + 1))
+    ranked = lists.select("ord", F.filter(at, lambda i: i.isNotNull()).alias("__at"))
+    out = rows.drop("burst_llm_rank", "burst_emotion_score").join(ranked, "ord", "left")
+    # a list that names a row twice adjusts it twice; its last place is its rank
+    emotion = F.reduce("__at", F.col("emotion_score").cast("double"), lambda e, i: scores.burst_emotion(i, e, p))
+    last = F.when(F.size("__at") > 0, F.element_at("__at", F.lit(-1)))
+    out = out.withColumns({"burst_llm_rank": F.when(F.col("__at").isNotNull(), last).cast("int"), "burst_emotion_score": F.when(F.size("__at") > 0, emotion).otherwise(F.col("emotion_score"))})
+    return out.drop("__at")
+
+
+def rank_bursts(subsets: DataFrame, pictures: DataFrame, rank: Callable[[bytes], str], p: Params = DEFAULT) -> DataFrame:
+    """burst_group_id, reply: the model's ranking of each burst's contact sheet (PNG); none where it fails.
+
+    subsets: burst_subsets(); pictures: path, data, height, width, channels of decoded ones.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        try:
+            shown = [images.gray(d, h, w, c) for d, h, w, c in group.sort_values("place")[["data", "height", "width", "channels"]].itertuples(index=False)]
+            reply = rank(images.png(images.contact_sheet(shown)))
+        except Exception:
+            reply = None
+        return pd.DataFrame({"burst_group_id": group["burst_group_id"].iloc[:1], "reply": [reply]})
+
+    kind = subsets.schema["burst_group_id"].dataType.simpleString()
+    return subsets.join(pictures, "path").groupBy("burst_group_id").applyInPandas(run, f"burst_group_id {kind}, reply string")
 
 
 def with_final(rows: DataFrame, p: Params = DEFAULT, weights: dict[str, float] | None = None) -> DataFrame:

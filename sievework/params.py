@@ -48,21 +48,6 @@ class Params:
 
 
 DEFAULT = Params()
-# Labels of pictures, in order.
-EVENT_LABELS = (
-    "wedding ceremony",
-    "baraat procession",
-    "haldi ceremony",
-    "mehendi ceremony",
-    "sangeet dance",
-    "cocktail party",
-    "bride getting ready",
-    "groom getting ready",
-    "couple portrait",
-    "group family photo",
-    "wedding decor flowers",
-    "wedding reception",
-)
 # Status and file-type names.
 ALIVE = ("surviving", "soft_blur_surviving")
 RAW_EXTENSIONS = ("nef", "cr2", "arw", "dng")

@@ -30,6 +30,3 @@ SCAN_REPORT = (
 )
 REVIEW_EVENTS = "seq bigint, path string, action string, arg string"
 REVIEWS = "path string, status string, person_tags array<string>"
-
-#: Value of each enriched, burst and scored column in a row that is not alive.
-DEAD = {"faces_detected": "0", "persons_matched": "array()", "is_group_photo": "false", "shot_type": "array()", "primary_shot_type": "'unknown'", "has_closed_eyes": "false", "confusion_warning": "false", "clip_event_tags": "array()", "moment_label": "'unknown'", "distraction_penalty": "1.0", "llava_fallback": "false", "selected": "false"}

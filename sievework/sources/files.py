@@ -46,7 +46,15 @@ def folder_counts(files: DataFrame) -> DataFrame:
 def decoded(spark: SparkSession, folder: str) -> DataFrame:
     """path, height, width, channels, data of the images that the JVM decodes; the others have height -1."""
     found = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(folder)
-    return found.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    # the other sources write one slash
+    origin = F.regexp_replace("image.origin", "^file:/+", "file:/")
+    return found.select(origin.alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+
+
+def contents(spark: SparkSession, folder: str) -> DataFrame:
+    """path, content of every image file below folder."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return found.where(tiers.is_image(F.col("path"))).select("path", "content")
 
 
 def measured(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,29 +20,78 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_records(spark: SparkSession, path: str, columns: str = schema.RECORD) -> DataFrame | None:
-    """A JSON array of records, or a Parquet table; None if there is none. Malformed JSON fails."""
+    """A JSON array of records, or a table that save() wrote or plain Parquet; None if there is none. Malformed JSON fails."""
     if not exists(spark, path):
         return None
     if path.endswith(".json"):
         return spark.read.schema(columns).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return spark.read.parquet(path)
+    return load(spark, path)
+
+
+POINTER = "_current"
+
+
+def _versions(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    jvm, folder, files = _versions(spark, path)
+    pointer = jvm.org.apache.hadoop.fs.Path(folder, POINTER)
+    if not files.exists(pointer):
+        return None
+    stream = files.open(pointer)
+    try:
+        return f"{path}/{stream.readLine()}"
+    finally:
+        stream.close()
+
+
+def _replace(spark: SparkSession, text: str, path) -> None:
+    """Writes a small text file beside a path and renames it over that, in one step."""
+    jvm = spark.sparkContext._jvm
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fresh = jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{path.getName()}-{uuid.uuid4().hex}")
+    stream = files.create(fresh)
+    stream.write(text.encode())
+    stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    context.rename(files.makeQualified(fresh), files.makeQualified(path), options)
+
+
+def save_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small file, old or new and never a part of it."""
+    _replace(spark, text, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
 
 
 def save(df: DataFrame, path: str) -> None:
-    """Writes beside the target and moves it into place, so a reader sees the old or the new table."""
+    """Writes a new version below path and then switches the pointer to it by one atomic rename: a reader, or a run after a
+    crash, sees the old or the new table whole. df may read the old one; versions other than these two go."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    df.write.parquet(part)
-    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(part)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(target):
-        files.delete(target, True)
-    files.rename(fresh, target)
+    jvm, folder, files = _versions(spark, path)
+    before = _current(spark, path)
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    _replace(spark, name, jvm.org.apache.hadoop.fs.Path(folder, POINTER))
+    for found in files.listStatus(folder):
+        own = found.getPath().getName()
+        if own.startswith("v-") and own != name and not (before or "").endswith(own):
+            files.delete(found.getPath(), True)
+
 
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The table that save() wrote, or plain Parquet."""
+    return spark.read.parquet(_current(spark, path) or path)
 
-def save_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """path, embedding of the pictures that have one."""
+    save(vectors.where("embedding IS NOT NULL").select("path", F.col("embedding").cast("array<float>").alias("embedding")), path)
 
 
 def eligible(records: DataFrame) -> DataFrame:
@@ -54,12 +103,6 @@ def selected_in_order(records: DataFrame) -> DataFrame:
     return records.where("selected").orderBy(F.coalesce("selection_rank", F.lit(9999)), "ord")
 
 
-def with_burst_columns(records: DataFrame) -> DataFrame:
-    if records.isEmpty():
-        raise ValueError("no records")
-    return records.withColumns({"burst_group_id": F.lit(None).cast("int"), "burst_pos_rank": F.lit(None).cast("int")})
-
-
 def coverage(records: DataFrame, vectors: DataFrame) -> DataFrame:
     """coverage_percent, enough: share of records with a vector."""
     have = vectors.select("path").distinct().withColumn("__has", F.lit(True))
@@ -71,7 +114,7 @@ def load_vectors(spark: SparkSession, path: str, records: DataFrame) -> DataFram
     """The vectors, or None if they are missing or cover less than half of the records."""
     if not exists(spark, path):
         return None
-    vectors = spark.read.schema(schema.VECTORS).parquet(path)
+    vectors = load(spark, path)
     return vectors if coverage(records, vectors).first().enough else None
 
 
@@ -127,10 +170,3 @@ def copy_files(plan: DataFrame, root: str) -> DataFrame:
 def pending(rows: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:
     """Rows without a finished result."""
     return rows.join(done.select(key), key, "left_anti")
-
-
-def checkpointed(df: DataFrame, path: str) -> DataFrame:
-    """Writes a stage's result, or reads what an earlier run wrote."""
-    if not exists(df.sparkSession, path):
-        save(df, path)
-    return df.sparkSession.read.parquet(path)
