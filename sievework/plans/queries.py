@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions import paths, replies, scores, tiers, vectors
 from ..operators import dedup, report, review, scoring, select, sessions, similarity
 from ..params import DEFAULT
 from ..sources import files, tables
+from ..sources.scratch import stage
 from ..streaming import sessions as streams
 
 #: Radii and thresholds for these tables; the products' defaults are in Params.
@@ -205,6 +207,18 @@ def hamming_members(spark, sf_dir):
     return dedup.members(simhashes(spark, sf_dir)).select(F.col("ord").alias("doc_id"), "first", F.lit(0).alias("distance"))
 
 
+# orders of a few customers as near copies: a customer's hash with two bits flipped by the order's number
+@query("""WITH o AS (SELECT o_orderkey AS ord, o_orderpriority AS folder, xor(CAST('0x' || substr(md5((o_custkey % 3000)::VARCHAR), 1, 8) AS BIGINT), 1::BIGINT << (o_orderkey % 32)::INTEGER) AS hi,
+xor(CAST('0x' || substr(md5((o_custkey % 3000)::VARCHAR), 9, 8) AS BIGINT), 1::BIGINT << (o_orderkey // 32 % 32)::INTEGER) AS lo FROM orders),
+p AS (SELECT x.ord AS a, y.ord AS b, CAST(bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS INTEGER) AS distance, x.folder = y.folder AS same FROM o x JOIN o y ON x.ord < y.ord)
+SELECT a, b, distance FROM p WHERE distance <= CASE WHEN same THEN 8 ELSE 3 END""")
+def hamming_orders(spark, sf_dir):
+    text, key = F.md5((F.col("o_custkey") % 3000).cast("string").cast("binary")), F.col("o_orderkey")
+    half = lambda at, bit: F.conv(F.substring(text, at, 8), 16, 10).cast("long").bitwiseXOR(F.pow(F.lit(2), bit).cast("long"))
+    rows = table(spark, sf_dir, "orders").select(key.alias("ord"), half(1, key % 32).alias("hi"), half(9, F.floor(key / 32) % 32).alias("lo"), F.col("o_orderpriority").alias("folder"))
+    return dedup.hamming_pairs(rows, DEFAULT.hash_same, 3)
+
+
 @query(f"""WITH RECURSIVE {SIMHASH_SQL},
 member AS (SELECT s.doc_id AS ord, r.ord AS rep FROM sh s JOIN documents d USING (doc_id) JOIN r ON r.hi = s.hi AND r.lo = s.lo AND r.folder = d.source),
 e AS (SELECT a, b FROM pairs WHERE distance <= CASE WHEN same THEN 8 ELSE 4 END), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
@@ -216,11 +230,21 @@ ids AS (SELECT root, CAST(row_number() OVER (ORDER BY root) AS INTEGER) AS clust
 SELECT n.ord AS doc_id, ids.cluster_id, n.root IS NULL OR row_number() OVER (PARTITION BY coalesce(n.root, -n.ord - 1) ORDER BY d.n_chars DESC, n.ord) = 1 AS is_best
 FROM named n JOIN documents d ON d.doc_id = n.ord LEFT JOIN ids ON ids.root = n.root""")
 def dup_components_best(spark, sf_dir):
-    rows = dedup.stage(simhashes(spark, sf_dir), "hashes")
+    rows = stage(simhashes(spark, sf_dir), "hashes")
     links = dedup.hamming_links(rows, DEFAULT.hash_same, DEFAULT.hash_cross)
     return dedup.clusters(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "n_chars"), links, F.desc("n_chars")).select(F.col("ord").alias("doc_id"), "cluster_id", "is_best")
 
 
+@query(r"""WITH g AS (SELECT *, dense_rank() OVER (ORDER BY md5(text)) AS c, count(*) OVER (PARTITION BY md5(text)) AS n, row_number() OVER (PARTITION BY md5(text) ORDER BY n_chars DESC, doc_id) = 1 AS keep FROM documents),
+x AS (SELECT min(doc_id) OVER (PARTITION BY c) AS first, * FROM g WHERE n > 1)
+SELECT first, string_agg(doc_id || ' ' || source || ' ' || (n_chars % 640) || 'x480 ' || CASE WHEN keep THEN 'keep' ELSE 'skip' END, ', ' ORDER BY doc_id) AS entries FROM x GROUP BY first""")
+def scan_groups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("path"), F.col("source").alias("folder_rel"), F.md5(F.col("text").cast("binary")).alias("hash"), F.col("n_chars").alias("pixels"), F.lit(0).alias("file_size"), (F.col("n_chars") % 640).alias("width"), F.lit(480).alias("height"))
+    grouped = docs.groupBy("hash").agg(F.min("ord").alias("cluster_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = report.groups(dedup.keep_largest(docs.join(grouped, "hash", "left"), "cluster_id"))
+    return found.select(F.col("cluster_id").alias("first"), F.array_join(F.transform("entries", lambda e: F.concat_ws(" ", e["path"], e["folder"], e["res"], e["decision"])), ", ").alias("entries"))
+
+
 # --- sessions and bursts ------------------------------------------------------------------------------------------------
 
 MOMENT_SQL = """f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
@@ -304,6 +328,19 @@ def burst_multiplier(spark, sf_dir):
     return rows.select("event_id", F.round(scores.burst_emotion(F.col("rank"), F.col("emotion")), 6).alias("burst_emotion_score"))
 
 
+# the model's list names the places from the best on: 2, 3, .., 1; the list for three rows is too short and counts for none
+@query(f"""WITH {BURST_SQL}, c AS (SELECT event_id, value / 100 AS emotion, least(burst_size, 4) AS n, burst_size, row_number() OVER (PARTITION BY day, burst ORDER BY event_id) AS place FROM bp),
+r AS (SELECT *, CASE WHEN burst_size BETWEEN 2 AND 8 AND place <= 4 AND n <> 3 THEN CASE WHEN place = 1 THEN n ELSE place - 1 END END AS rank FROM c)
+SELECT event_id, CAST(rank AS INTEGER) AS burst_llm_rank, round(CASE WHEN rank IS NULL THEN emotion ELSE coalesce(nullif(emotion, 0), 0.5) * CASE rank WHEN 1 THEN 1.15 WHEN 2 THEN 1.05 ELSE 0.95 END END, 6) AS burst_emotion_score FROM r""")
+def burst_compare(spark, sf_dir):
+    group = F.concat_ws("/", F.col("day").cast("string"), "burst")
+    rows = bursts(spark, sf_dir).select(F.col("event_id").alias("ord"), F.col("event_type").alias("path"), group.alias("burst_group_id"), F.lit("surviving").alias("status"), (F.col("value") / 100).alias("emotion_score"), F.lit(None).cast("int").alias("burst_llm_rank"))
+    sizes = scoring.burst_subsets(rows).groupBy("burst_group_id").agg(F.max("n").alias("n"))
+    names = F.when(F.col("n") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.concat(F.sequence(F.lit(2), F.col("n")), F.array(F.lit(1))))
+    found = scoring.compared_bursts(rows, sizes.select("burst_group_id", F.to_json(names).alias("reply")))
+    return found.select(F.col("ord").alias("event_id"), "burst_llm_rank", F.round("burst_emotion_score", 6).alias("burst_emotion_score"))
+
+
 @query(f"""WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM f)
 SELECT user_id, strftime(min(ts), {SQL_TIME}) AS session_start, strftime(max(ts), {SQL_TIME}) AS session_end, count(*) AS n FROM g GROUP BY user_id, s""")
@@ -378,6 +415,41 @@ def blend_null_weights(spark, sf_dir):
     return scoring.with_aesthetic(rows).select("doc_id", "aesthetic_score")
 
 
+def _digest_scorer(name: str, every: int) -> scoring.Scorer:
+    """A scorer by content digest that fails on every n-th content length."""
+
+    def score(content: bytes) -> float:
+        if len(content) % every == 0:
+            raise ValueError(name)
+        return int.from_bytes(hashlib.sha256(name.encode() + content).digest()[:4], "big") / 4294967295.0
+
+    return scoring.Scorer(name, lambda: score)
+
+
+DIGEST_SQL = "CASE WHEN strlen(url) % {every} <> 0 THEN round(CAST('0x' || substr(sha256('{name}' || url), 1, 8) AS BIGINT) / 4294967295.0, 6) END"
+
+
+@query(f"""WITH s AS (SELECT page_id, {DIGEST_SQL.format(name='brisque', every=3)} AS b, {DIGEST_SQL.format(name='laion', every=4)} AS l, {DIGEST_SQL.format(name='musiq', every=5)} AS m FROM pages),
+t AS (SELECT page_id, coalesce(b, 0.5) AS b, coalesce(l, b, 0.5) AS l, CASE WHEN l IS NULL THEN 'brisque' ELSE 'laion' END AS laion_method, m FROM s)
+SELECT page_id, b AS brisque_score, l AS laion_score, laion_method, m AS musiq_score,
+round((b * 0.2 + l * 0.4 + coalesce(m * 0.4, 0)) / (0.6 + CASE WHEN m IS NULL THEN 0 ELSE 0.4 END), 6) AS aesthetic_score FROM t""")
+def aesthetic_fallback(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.col("url").cast("binary").alias("content"))
+    broken = scoring.Scorer("nima", lambda: 1 / 0)
+    found = scoring.aesthetics(pages, _digest_scorer("brisque", 3), _digest_scorer("laion", 4), broken, _digest_scorer("musiq", 5))
+    return scoring.with_aesthetic(found).select(F.col("path").cast("long").alias("page_id"), "brisque_score", "laion_score", "laion_method", "musiq_score", "aesthetic_score")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice, round(greatest(0, least(1, 1 - l_quantity * 2.5 / 100)), 6) AS brisque, round(greatest(0, least(1, l_quantity * 2.5 / 100)), 6) AS musiq,
+round(greatest(0, least(1, l_quantity / 4 / 10)), 6) AS laion, round(list_sum(list_transform(range(1, 11), lambda i: i * ((l_partkey + i) % 10) / 45.0)) / 10, 6) AS nima FROM lineitem""")
+def score_scales(spark, sf_dir):
+    raw = F.col("l_quantity") * 2.5
+    bins = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: ((F.col("l_partkey") + i) % 10) / 45.0)
+    rated = [scores.inverted_percent(raw).alias("brisque"), scores.percent(raw).alias("musiq"), scores.tenth(F.col("l_quantity") / 4).alias("laion"), scores.expected_rating(bins).alias("nima")]
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", *rated)
+    return rows.withColumns({c: F.round(c, 6) for c in ("brisque", "musiq", "laion", "nima")})
+
+
 SCORED_SQL = """o AS (SELECT o_orderkey, o_totalprice % 125 AS blur, CAST((o_custkey * 7) % 256 AS DOUBLE) AS exposure, (o_totalprice % 1000) / 1000 AS aesthetic,
   (o_custkey % 10) / 10.0 AS emotion, (o_orderkey % 7) / 7.0 AS memorability, (o_custkey % 13) / 13.0 AS rot, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 11) / 11.0 END AS prominence,
   o_orderstatus = 'P' AS candid, o_orderstatus = 'F' AND o_orderkey % 3 = 0 AS closed, CASE WHEN o_custkey % 4 = 0 THEN 0.9 ELSE 0.0 END AS distraction FROM orders),
@@ -491,9 +563,17 @@ def greedy_one_cap(spark, sf_dir):
     return select.one_cap(table(spark, sf_dir, "orders"), "o_orderpriority", DEFAULT.moment_cap, "o_totalprice", "o_orderkey").select("o_orderkey", "o_orderpriority", "place")
 
 
-@query()
+# a fold over the orders from the greatest price on, one for each step, with a count for each month and each priority
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos, dense_rank() OVER (ORDER BY strftime(o_orderdate, '%Y-%m')) AS m, dense_rank() OVER (ORDER BY o_orderpriority) AS s FROM orders),
+fold(pos, months, kinds, n, chosen) AS (
+  SELECT 0::BIGINT, list_transform(range(1 + (SELECT max(m) FROM o)), lambda x: 0), list_transform(range(1 + (SELECT max(s) FROM o)), lambda x: 0), 0, NULL::BIGINT
+  UNION ALL
+  SELECT o.pos, CASE WHEN f.ok THEN list_transform(f.months, lambda x, i: CASE WHEN i = o.m THEN x + 1 ELSE x END) ELSE f.months END,
+    CASE WHEN f.ok THEN list_transform(f.kinds, lambda x, i: CASE WHEN i = o.s THEN x + 1 ELSE x END) ELSE f.kinds END, f.n + CASE WHEN f.ok THEN 1 ELSE 0 END, CASE WHEN f.ok THEN o.o_orderkey END
+  FROM (SELECT fold.*, months[p.m] < 15 AND kinds[p.s] < 320 AS ok FROM fold JOIN o p ON p.pos = fold.pos + 1 WHERE n < 800) f JOIN o ON o.pos = f.pos + 1)
+SELECT chosen AS o_orderkey, CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS selection_rank FROM fold WHERE chosen IS NOT NULL""")
 def greedy_two_caps(spark, sf_dir):
-    """800 orders under 15 for each day and 320 for each priority; tests hold it against a fold in Python."""
+    """800 orders under 15 for each month and 320 for each priority."""
     orders = table(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM"))
     return select.greedy(orders, DEFAULT.select_n, "day", DEFAULT.moment_cap, "o_orderpriority", DEFAULT.shot_cap, "o_totalprice", "o_orderkey")
 
@@ -512,6 +592,30 @@ def mmr_select(spark, sf_dir):
     return select.diverse(rows, 20, "score", "embedding", "vec_id").select("selection_rank", "vec_id", "mmr_score")
 
 
+# the same under quotas: six for each label, fifteen for each third of the ids
+@query("""WITH RECURSIVE c AS (SELECT vec_id AS id, ((vec_id * 37) % 101) / 100.0 AS score, label, vec_id % 3 AS third, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+m AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.e, b.e) AS sim FROM c a, c b),
+pick(step, ids, labels, thirds, id, val) AS (
+  SELECT * FROM (SELECT 1 AS step, [id] AS ids, [label] AS labels, [third] AS thirds, id, round(0.7 * score, 6) AS val FROM c ORDER BY score DESC, id LIMIT 1)
+  UNION ALL
+  SELECT step + 1, list_append(ids, id), list_append(labels, label), list_append(thirds, third), id, round(v, 6) FROM (
+    SELECT p.step, p.ids, p.labels, p.thirds, c.id, c.label, c.third, c.score, 0.7 * c.score - (1.0 - 0.7) * max(m.sim) AS v
+    FROM pick p JOIN c ON NOT list_contains(p.ids, c.id) AND len(list_filter(p.labels, lambda x: x = c.label)) < 6 AND len(list_filter(p.thirds, lambda x: x = c.third)) < 15 JOIN m ON m.a = c.id AND list_contains(p.ids, m.b)
+    WHERE p.step < 40 GROUP BY p.step, p.ids, p.labels, p.thirds, c.id, c.label, c.third, c.score) QUALIFY row_number() OVER (ORDER BY v DESC, score DESC, id) = 1)
+SELECT CAST(step AS INTEGER) AS selection_rank, id AS vec_id, val AS mmr_score FROM pick""")
+def mmr_quotas(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumns({"score": ((F.col("vec_id") * 37) % 101) / 100, "third": F.col("vec_id") % 3})
+    return select.diverse(rows, 40, "score", "embedding", "vec_id", moment="label", moment_cap=6, shot="third", shot_cap=15).select("selection_rank", "vec_id", "mmr_score")
+
+
+@query()
+def mmr_800(spark, sf_dir):
+    """800 of the embeddings under the products' quotas, at the size of the reference's run; tests hold diverse() against a loop."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("score", ((F.col("vec_id") * 37) % 101) / 100)
+    third = rows.withColumn("shot", (F.col("vec_id") % 5).cast("string")).withColumn("moment", F.floor(F.col("vec_id") / 12).cast("string"))
+    return select.diverse(third, DEFAULT.select_n, "score", "embedding", "vec_id", moment="moment", shot="shot", shot_cap=DEFAULT.shot_cap).select("selection_rank", "vec_id", "mmr_score")
+
+
 @query("SELECT o_orderpriority, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent, count(*) * 100.0 / sum(count(*)) OVER () > 60 AS dominant FROM orders GROUP BY o_orderpriority")
 def diversity_share(spark, sf_dir):
     return report.shares(table(spark, sf_dir, "orders"), "o_orderpriority").withColumn("percent", F.round("percent", 6))
@@ -555,6 +659,17 @@ def facet_filter(spark, sf_dir):
     return reviewed(spark, sf_dir).where(review.facet_test(facets)).select(F.col("path").alias("c_custkey"))
 
 
+@query(f"WITH {REVIEWED_SQL} SELECT c_custkey FROM rows WHERE coalesce(score, 0) BETWEEN 0.0 AND 1.0 AND EXISTS (SELECT 1 FROM tg WHERE tg.path = c_custkey AND tg.arg IN ('p0', 'p2'))")
+def facet_tags(spark, sf_dir):
+    return reviewed(spark, sf_dir).where(review.facet_test(review.Facets(tags=("p0", "p2")))).select(F.col("path").alias("c_custkey"))
+
+
+@query(f"WITH {REVIEWED_SQL} SELECT count(*) FILTER (WHERE status <> 'unreviewed') AS reviewed, count(*) FILTER (WHERE status = 'unreviewed') AS remaining FROM rows")
+def review_resume(spark, sf_dir):
+    rows = reviewed(spark, sf_dir)
+    return review.resume_counts(rows, rows.select("path", F.col("review_status").alias("status")))
+
+
 @query(f"""WITH {REVIEWED_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) FILTER (WHERE status = 'rejected') AS rejected, count(*) FILTER (WHERE status = 'unreviewed') AS unreviewed,
 count(*) FILTER (WHERE status = 'approved') > 200 AS warning, {', '.join(f"count(*) FILTER (WHERE EXISTS (SELECT 1 FROM tg WHERE tg.path = c_custkey AND tg.arg = '{p}')) AS n_{p}" for p in ('p0', 'p1', 'p2'))} FROM rows""")
 def review_summary(spark, sf_dir):
