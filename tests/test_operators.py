@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from sievework.operators import dedup, review, scoring, select, sessions
+from sievework.operators import components, dedup, review, scoring, select, sessions
 from sievework.params import DEFAULT
 
 
@@ -66,7 +66,7 @@ def test_pairs_and_members_make_all_links(spark):
 
 def test_components_of_a_chain(spark):
     frame = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    got = {r.node: r.root for r in dedup.components(frame).collect()}
+    got = {r.node: r.comp for r in components.connected_components(frame).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
@@ -179,6 +179,103 @@ def test_mmr_matches_the_plain_loop(spark):
     assert [r.ord for r in got] == sorted(range(80), key=lambda i: (-score[i], i))[:20]
 
 
+def test_mmr_in_rounds_is_exact(spark):
+    """Few rows in a round, vectors of any length and sign, quotas: the picks are those of one pass over all rows."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(300, 5)) * rng.uniform(0.2, 3, (300, 1))
+    score = rng.integers(0, 25, 300) / 25
+    rows = [(i, float(score[i]), vectors[i].tolist() if i % 11 else None, f"m{i % 30}" if i % 13 else None, f"s{i % 4}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "ord long, score double, e array<double>, m string, s string")
+    quotas = {"moment": "m", "moment_cap": 4, "shot": "s", "shot_cap": 18}
+    for given in ({}, quotas):
+        whole = select.diverse(frame, 60, "score", "e", "ord", batch=300, **given).collect()
+        assert len(whole) == 60
+        for batch in (1, 7, 90):
+            got = select.diverse(frame, 60, "score", "e", "ord", batch=batch, **given).collect()
+            assert [(r.ord, r.selection_rank, r.mmr_score) for r in got] == [(r.ord, r.selection_rank, r.mmr_score) for r in whole]
+
+
+def test_hamming_candidates_stay_near_linear(spark):
+    """Unlike hashes seldom meet: candidates per row hardly grow with the rows."""
+    from sievework.functions import vectors as v
+
+    rng = random.Random(3)
+    for limit, most in ((8, 2), (4, 1)):
+        assert limit // dedup.BANDS == most
+        cuts = v.band_cuts(dedup.BANDS)
+        near = sum(len(v.flips(b - a, most)) for a, b in zip(cuts, cuts[1:], strict=False))
+        expected = sum(len(v.flips(b - a, most)) / 2 ** (b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+        assert near < 800 and expected < 0.001  # of all pairs
+    hashes = [rng.getrandbits(64) for _ in range(3000)]
+    hashes[7] = hashes[2999] ^ 0b10110101
+    frame = spark.createDataFrame([(i, h >> 32, h & 0xFFFFFFFF, None if i == 7 else "f") for i, h in enumerate(hashes)], "ord long, hi long, lo long, folder string")
+    assert {tuple(r) for r in dedup.hamming_pairs(frame.fillna("f"), 8).collect()} == {(7, 2999, 5)}
+    assert dedup.hamming_pairs(frame, 8, 4).collect() == []
+    assert {tuple(r) for r in dedup.hamming_pairs(frame, 8, 5).collect()} == {(7, 2999, 5)}
+
+
+def test_statistics_over_many_values(spark, monkeypatch):
+    from sievework.operators import report
+
+    monkeypatch.setattr(report, "BUCKETS", 4)
+    monkeypatch.setattr(report, "MIDDLE_ROWS", 3)
+    rng = random.Random(2)
+    for values in ([], [0.5], [1.0, 2.0], [rng.choice([0.0, rng.random(), 7.0]) for _ in range(501)], [rng.random() for _ in range(200)], [3.0] * 50):
+        frame = spark.createDataFrame([(v,) for v in [*values, None]], "score double")
+        got = report.statistics(frame, "score").first()
+        assert (got.n, got.middle) == (len(values), float(np.median(values)) if values else 0.0)
+
+
+def test_compared_bursts(spark):
+    rows = [(i, f"p{i}", g, "surviving" if i != 3 else "rejected_burst", 0.4 if i % 2 else 0.0, None) for i, g in enumerate([1, 1, 1, 1, 1, 1, 2, 2, 3, None, 4, 4])]
+    frame = spark.createDataFrame(rows, "ord long, path string, burst_group_id int, status string, emotion_score double, burst_llm_rank int")
+    subsets = {(r.burst_group_id, r.place): (r.ord, r.n) for r in scoring.burst_subsets(frame).collect()}
+    assert subsets == {(1, 1): (0, 4), (1, 2): (1, 4), (1, 3): (2, 4), (1, 4): (4, 4), (2, 1): (6, 2), (2, 2): (7, 2), (4, 1): (10, 2), (4, 2): (11, 2)}
+    ranks = spark.createDataFrame([(1, "```json\n[4, 1, 2, 3]\n```"), (2, "[2, 2]"), (4, "no list")], "burst_group_id int, reply string")
+    got = {r.ord: (r.burst_llm_rank, round(r.burst_emotion_score, 6)) for r in scoring.compared_bursts(frame, ranks).collect()}
+    assert [got[i] for i in (4, 0, 1, 2)] == [(1, 0.575), (2, 0.525), (3, 0.38), (4, 0.475)]
+    assert got[7] == (2, round(0.4 * 1.15 * 1.05, 6)) and got[6] == (None, 0.0) and got[10] == (None, 0.0) and got[3] == (None, 0.4)
+
+
+def test_aesthetic_models_fall_back(spark):
+    frame = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"22"))], "path string, content binary")
+    broken, fails = scoring.Scorer("x", lambda: 1 / 0), scoring.Scorer("x", lambda: lambda content: 1 / (len(content) - 1))
+    fixed = lambda v: scoring.Scorer("x", lambda: lambda content: v)
+    got = lambda *models: [tuple(r)[1:] for r in scoring.aesthetics(frame, *models).orderBy("path").collect()]
+    assert got() == [(0.5, 0.5, "brisque", 0.5, "brisque", None)] * 2
+    assert got(fixed(0.2), broken, fixed(0.3), broken) == [(0.2, 0.3, "nima", 0.3, "nima", None)] * 2
+    assert got(fails, fails, fixed(0.3), fails) == [(0.5, 0.5, "brisque", 0.5, "brisque", None), (1.0, 1.0, "laion", 1.0, "laion", 1.0)]
+    assert got(fixed(0.2), scoring.Scorer("x", fails.load, 0.5))[0][:3] == (0.2, 0.5, "laion")
+
+
+def test_model_calls_stop_after_many_failures(spark):
+    frame = spark.createDataFrame([(f"p{i:02}", bytearray(b"x" * i)) for i in range(20)], "path string, content binary").coalesce(1)
+
+    def ask(content):
+        if len(content) >= 3:
+            raise ConnectionError
+        return '{"emotion": 8, "memorability": 5}' if len(content) else "nothing to read"
+
+    got = {r.path: (r.emotion_score, r.llava_fallback) for r in scoring.with_ratings(scoring.call_model(frame, ask, breaker=4)).collect()}
+    assert got["p00"] == (0.5, True) and got["p01"] == got["p02"] == (0.8, False)
+    assert all(got[f"p{i:02}"] == (0.5, True) for i in range(3, 7)) and all(got[f"p{i:02}"] == (None, None) for i in range(7, 20))
+
+
+def test_review_progress(spark, tmp_path):
+    path = str(tmp_path / "progress.json")
+    assert review.read_progress(spark, path) is None
+    people = [{"letter": "B", "name": "Bo", "color": "#fff"}]
+    rows = spark.createDataFrame([("a", "approved", ["Bo"]), ("b", "unreviewed", []), ("c", "rejected", None)], "path string, status string, person_tags array<string>")
+    for _ in range(2):
+        review.save_progress(rows, people, path)
+    found, reviews = review.read_progress(spark, path)
+    assert found == people and {r.path: (r.status, r.person_tags) for r in reviews.collect()} == {"a": ("approved", ["Bo"]), "b": ("unreviewed", []), "c": ("rejected", [])}
+    assert review.resume_counts(spark.range(5), reviews).first() == (2, 3)
+    (tmp_path / ".progress.json.crc").unlink(missing_ok=True)
+    (tmp_path / "progress.json").write_text("{broken")
+    assert review.read_progress(spark, path) is None
+
+
 def test_review_fold(spark):
     rng = random.Random(6)
     events, state = [], {}
