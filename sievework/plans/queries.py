@@ -434,7 +434,7 @@ t AS (SELECT page_id, coalesce(b, 0.5) AS b, coalesce(l, b, 0.5) AS l, CASE WHEN
 SELECT page_id, b AS brisque_score, l AS laion_score, laion_method, m AS musiq_score,
 round((b * 0.2 + l * 0.4 + coalesce(m * 0.4, 0)) / (0.6 + CASE WHEN m IS NULL THEN 0 ELSE 0.4 END), 6) AS aesthetic_score FROM t""")
 def aesthetic_fallback(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.col("url").cast("binary").alias("content"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("url").cast("binary").alias("content"))
     broken = scoring.Scorer("nima", lambda: 1 / 0)
     found = scoring.aesthetics(pages, _digest_scorer("brisque", 3), _digest_scorer("laion", 4), broken, _digest_scorer("musiq", 5))
     return scoring.with_aesthetic(found).select(F.col("path").cast("long").alias("page_id"), "brisque_score", "laion_score", "laion_method", "musiq_score", "aesthetic_score")

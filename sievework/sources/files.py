@@ -48,7 +48,8 @@ def decoded(spark: SparkSession, folder: str) -> DataFrame:
     found = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(folder)
     # the other sources write one slash
     origin = F.regexp_replace("image.origin", "^file:/+", "file:/")
-    return found.select(origin.alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    names = {"height": "height", "width": "width", "nChannels": "channels", "data": "data"}
+    return found.select(origin.alias("path"), *[F.col(f"image.{c}").alias(n) for c, n in names.items()]).where(tiers.is_image(F.col("path")))
 
 
 def contents(spark: SparkSession, folder: str) -> DataFrame:
