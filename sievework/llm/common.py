@@ -1,49 +1,57 @@
-"""Shared pieces: scratch tables on the shared folder, broadcasts with a checked size, components."""
+"""Shared pieces: batches and broadcasts of a bounded size, column names; scratch tables and components of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
+from ..sources.scratch import shared_dir
+from ..sources.scratch import stage as materialise
+from ..sources.tables import exists as path_exists
+
+__all__ = ["connected_components", "materialise", "path_exists", "shared_dir"]
+
 #: Upper bound of anything this subpackage broadcasts by hand.
 BROADCAST_BYTES = 64 << 20
-#: Most links that one task joins into components.
-ONE_TASK_LINKS = 200_000
+#: Bytes after which a batch of rows for Python is closed: a task holds a few batches, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir; local mode may do without."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="sievework-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to BATCH_BYTES, if it is greater."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/sievework-{uuid.uuid4().hex}/{tag}"
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: Python values of a whole batch would take several times its memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
+def free_names(names: list[str], given: tuple[str, ...]) -> list[str]:
+    """names, with `_in` behind those that given ones have, until they are free."""
+    taken = {c.lower() for c in (*names, *given)}
+    out = []
+    for name in names:
+        new = name
+        if name.lower() in given:
+            while new.lower() in taken:
+                new += "_in"
+            taken.add(new.lower())
+        out.append(new)
+    return out
 
 
 def checked_broadcast(spark: SparkSession, value, n_bytes: int, what: str):
@@ -55,58 +63,3 @@ def checked_broadcast(spark: SparkSession, value, n_bytes: int, what: str):
 def if_small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES // 8) -> DataFrame:
     """df, a materialised table, marked for broadcast if its rows, counted, stay within the bound; else as it is."""
     return F.broadcast(df) if df.count() * row_bytes <= most else df
-
-
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All links (u, v) -> (u, smallest reachable)."""
-    parent: dict = {}
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    schema = None
-    for batch in batches:
-        schema = batch.schema
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = find(parent.setdefault(a, a)), find(parent.setdefault(b, b))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    if schema is not None:
-        nodes = list(parent)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, schema[0].type), pa.array([find(x) for x in nodes], schema[1].type)], schema=schema)
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK_LINKS) -> DataFrame:
-    """(node, comp): comp is the smallest node reachable over edges (a, b). Nodes without edges are absent.
-
-    Up to one_task links are joined in one task. More are contracted by large-star and small-star rounds (Kiveris et
-    al. 2014): each keeps at most as many links as the one before and is written to the shared folder, as are the
-    minima, so that joins with a node of very many links can be split. Ends when a round changes nothing.
-    """
-    links = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
-    n = links.count()
-    if n <= one_task:
-        done = materialise(links.coalesce(1).mapInArrow(_union_find, links.schema), "components")
-        return done.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    links = links.distinct()
-    before = None
-    for _ in range(max_rounds):
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "large")
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").select("u", "v", "m")
-        links = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        links = materialise(links, "round")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    # a settled forest is made of stars: every node points at its smallest
-    nodes = links.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
