@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialise
+from .common import BROADCAST_BYTES, materialise, sliced, small_batches
 from .line_dedup import LAST_ID
-from .textvec import _BYTES, U, mix, pieces, powers
+from .textvec import U, mix, pieces
 
 WINDOW, K = 100, 28
 SPAN = WINDOW - K + 1  # K-grams of a window
@@ -45,6 +45,19 @@ HOT = 20_000
 FREQUENT = 256
 BATCH = 8192
 PLACE = 22  # bits of a place in a piece; longer texts are one piece cut into overlapping stretches
+_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+_BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multiplier's first n powers at least, and those of its inverse; kept for the next call."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        up, down = np.full(size, _P, np.uint64), np.full(size, pow(_P, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+    return _POWERS[0], _POWERS[1]
 
 
 # --- suffix array -------------------------------------------------------------------------------------------------
@@ -217,14 +230,9 @@ def anchors_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         yield row + first, gram, anchor + shift, start + shift, last + shift
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices: Python values of a whole batch would take several times its memory."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def class_number(digest: bytes) -> int:
+    """Half of a class's 128 bits: enough to find a text's bytes, which decide what is removed from it. A text whose half
+    is that of an earlier, different one keeps its repeats; only the whole 128 bits have a copy removed as a whole."""
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
@@ -234,7 +242,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: the gram is frequent in this batch. Two of its rows are given a second time as not known, for other tasks.
     """
     seen: set[int] = set()
-    for batch in _sliced(batches, 2048):
+    for batch in sliced(batches, 2048):
         column = batch.column(0).fill_null("")
         numbers, fresh = [], []
         for text in column.to_pylist():
@@ -309,7 +317,7 @@ def _segments(longer: bool) -> Callable:
     names = ["gram", "ord", "class", "start", "lead", "bytes"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             columns: list[list] = [[] for _ in names]
             for ord_, number, packed, size, spots in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 data = pa.decompress(packed, size, codec="zstd", asbytes=True) if size else b""
@@ -483,7 +491,7 @@ def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names)
 
-    for batch in _sliced(batches):
+    for batch in sliced(batches):
         out: list[tuple] = []
         for ord_, number, start, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5)), strict=True):
             for i in range(len(data) - WINDOW + 1):
@@ -502,17 +510,19 @@ def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _sliced(batches):
+    for batch in sliced(batches):
         texts = [t.encode() for t in batch.column(2).to_pylist()]
         packed = pa.array([pa.compress(t, codec="zstd", asbytes=True) if t else b"" for t in texts], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, pa.array([len(t) for t in texts], pa.int64())], ["ord", "class", "packed", "size"])
+        names = ["ord", "class", "packed", "size", *batch.schema.names[3:]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, pa.array([len(t) for t in texts], pa.int64()), *batch.columns[3:]], names)
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """ord, class, text of each row."""
+def _named(docs: DataFrame, *more: str) -> DataFrame:
+    """ord, class, text of each row; `strong` on demand: the other half of the class's 128 bits."""
     text = F.coalesce("text", F.lit(""))
-    number = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 16), 16, -10).cast("long")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("ord"), number.alias("class"), text.alias("text"))
+    half = lambda at: F.conv(F.substring(F.sha2(text.cast("binary"), 256), at, 16), 16, -10).cast("long")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("ord"), half(1).alias("class"), half(17).alias("strong"), text.alias("text"))
+    return rows.select("ord", "class", "text", *more)
 
 
 def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -559,7 +569,7 @@ def merge_ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.
 
 def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of one row's list merged: (ord, class, starts, stops)."""
-    for batch in _sliced(batches):
+    for batch in sliced(batches):
         starts, stops = [], []
         for spans in batch.column(2):
             a, b = merge_ranges(*(spans.values.field(i).to_numpy() for i in (0, 1)))
@@ -573,16 +583,17 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, keep_bytes: bool = True) ->
 
     Without keep_bytes, `kept` is left out.
     """
+    small_batches(docs.sparkSession)
     ranges = repeated_ranges(docs, hot).groupBy("ord", "class").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = materialise(ranges.mapInArrow(_merge_task, "ord long, class long, starts array<long>, stops array<long>"), "spans")
-    firsts = _named(docs).groupBy("class").agg(F.min("ord").alias("first"))
+    firsts = _named(docs, "strong").groupBy("class", "strong").agg(F.min("ord").alias("first"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = _named(docs).select("ord", "class", "text").mapInArrow(_pack, "ord long, class long, packed binary, size long")
+    packed = _named(docs, "strong").mapInArrow(_pack, "ord long, class long, packed binary, size long, strong long")
     known = firsts.join(spans.withColumnRenamed("ord", "first"), ["class", "first"], "left").where("first IS NOT NULL")
-    joined = packed.join(known, "class")
+    joined = packed.join(known, ["class", "strong"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             out: list[tuple] = []
             for ord_, first, packed, size, starts, stops in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 data = pa.decompress(packed, size, codec="zstd", asbytes=True) if size else b""

@@ -1,11 +1,13 @@
-"""Words, shingles and their 64-bit hashes for whole Arrow columns of text, in numpy.
+"""Words, shingles and their hashes for whole Arrow columns of text, in numpy.
 
-Words are runs of bytes outside 0x20 and 0x09-0x0D. Hashes are polynomial prefix hashes over a table of random
-64-bit byte values, finished with a mixer, so equal words have equal hashes at any place.
+Words are runs of bytes outside 0x20 and 0x09-0x0D. A word's hash is the value of its bytes as a polynomial modulo the
+prime 2^61 - 1 at a seeded random point, mixed with its length: no construction of equal hashes is known that does not
+use the point, and equal words have equal hashes at any place. Words longer than BLOCK bytes take 64 bits of BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +17,16 @@ U = np.uint64
 SHINGLE = 5
 #: Text bytes that are hashed at a time; a longer document is a piece of its own.
 PIECE = 1 << 19
-_P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
+#: Bytes whose powers are kept, and the seed of the point that the words' polynomials are evaluated at.
+BLOCK, SEED = 1 << 19, 20240229
+PRIME = (1 << 61) - 1
+_POINT = int(np.random.default_rng(SEED).integers(1 << 32, PRIME))
+_Q = 0xD6E8FEB86659FD93
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-_BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,26 +36,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_POWERS: list[np.ndarray] = []
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & U(PRIME)) + (x >> U(61))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier's first n powers at least, and those of its inverse; kept for the next call."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        up, down = np.full(size, _P, np.uint64), np.full(size, pow(_P, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _POWERS[0], _POWERS[1]
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x 2^32, below 2^63, with the same remainder; 2^61 is 1."""
+    return (x >> U(29)) + ((x & U((1 << 29) - 1)) << U(32))
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a b modulo the prime, for remainders."""
+    low = U((1 << 32) - 1)
+    a1, a0, b1, b0 = a >> U(32), a & low, b >> U(32), b & low
+    end = a0 * b0
+    return _reduced(_reduced(((a1 * b1) << U(3)) + _shifted(a1 * b0 + a0 * b1)) + (end & U(PRIME)) + (end >> U(61)))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    width = 1
+    while width < n:
+        step = U(pow(base, width, PRIME))
+        out[width : 2 * width] = _times(out[: min(width, n - width)], np.full(1, step))
+        width *= 2
+    return out
+
+
+_KEPT: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """Halves of the point's first BLOCK powers, and the inverse powers."""
+    if not _KEPT:
+        up = _powers(_POINT, BLOCK)
+        _KEPT.extend([up & U((1 << 32) - 1), up >> U(32), _powers(pow(_POINT, -1, PRIME), BLOCK)])
+    return _KEPT
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """Hash of each data[start:end]; with fold, A-Z count as a-z."""
-    up, down = powers(len(data) + 1)
-    table = _BYTES[LOWER] if fold else _BYTES
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """Hash of each data[start:end], spans in order and apart; with fold, A-Z count as a-z."""
+    low, high, back = _tables()
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = int(np.searchsorted(ends, a + BLOCK, "right"))
+        if j <= i:  # one longer than a block
+            whole = data[a : ends[i]]
+            out[i] = int.from_bytes(hashlib.blake2b((LOWER[whole] if fold else whole).tobytes(), digest_size=8).digest(), "big")
+            i += 1
+            continue
+        part = data[a : ends[j - 1]]
+        part = (LOWER[part] if fold else part).astype(np.uint64) + U(1)
+        s, e = starts[i:j] - a, ends[i:j] - a
+        sums = []
+        for half in (low, high):
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * half[: len(part)], out=total[1:])
+            sums.append(total[e] - total[s])
+        value = _reduced(_reduced(sums[0]) + _shifted(sums[1]))
+        out[i:j] = mix(_times(value, back[s]) + ((e - s).astype(np.uint64) << U(40)))
+        i = j
+    return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
