@@ -1,8 +1,9 @@
 """Token counts through a digest cache.
 
 Texts are looked up by (tokenizer digest, content digest); only distinct texts without a stored count are encoded,
-and their counts are appended to the cache. The content is normalised as the tokenizer does it: for an identity
-normaliser that is the text itself, null being the empty text.
+and their counts are appended to the cache: a table in the shared folder, partitioned by tokenizer, that later calls and
+sessions with that folder find again. The content is normalised as the tokenizer does it: for an identity normaliser
+that is the text itself, null being the empty text.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows and equal texts are encoded once and
 each row is returned; null ids are kept; an empty table gives no rows; further columns are ignored; texts of any
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise, path_exists, scratch_path
+from .common import checked_broadcast, materialise, path_exists, shared_dir, small_batches
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
+#: The cache's folder within the shared one.
+CACHE = "sievework-token-cache"
 
 
 def load_counter(kind: str, model: bytes):
@@ -36,7 +39,6 @@ def load_counter(kind: str, model: bytes):
     encoder = Tokenizer.from_str(model.decode())
     encoder.no_truncation()
     encoder.no_padding()
-    encoder.encode_special_tokens = True
     return lambda texts: [len(x.ids) for x in encoder.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -57,10 +59,11 @@ def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row. The cache may be shared by many runs."""
     spark = docs.sparkSession
+    small_batches(spark)
     model = Path(tokenizer_path).read_bytes()
     kind, version = Path(tokenizer_path).suffix[1:], hashlib.sha256(model).hexdigest()
     held = checked_broadcast(spark, model, len(model), "the tokenizer")
-    cache_path = cache_path or scratch_path(spark, "token-cache")
+    cache_path = cache_path or f"{shared_dir(spark)}/{CACHE}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = load_counter(kind, held.value), set()
@@ -78,7 +81,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
         misses = misses.join(stored.select("digest").distinct(), "digest", "left_anti")
     counted = misses.repartition("digest").mapInArrow(encode, "digest binary, n_tokens long")
-    counted.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache_path)
+    counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
     # two runs may have counted one text; written out, so that the join can split a text with very many copies
