@@ -39,7 +39,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     chunk = rows.select(F.explode("recipe").alias("c")).select("c.weak", "c.size", "c.strong")
     clash = chunk.groupBy("weak", "size").agg(F.min("strong").alias("low"), F.max("strong").alias("high")).where("low <> high")
     # about n^2 / 2^65 identifiers of n chunks clash: none below a billion chunks
-    clashes = clash.agg(F.collect_set("weak").alias("weak")).scalar()
+    clashes = materialise(clash.select("weak"), "clashes").agg(F.collect_set("weak").alias("weak")).scalar()
     plain = rows.select("doc_id", "text_sha256", F.size("recipe").alias("n_chunks"), "recipe", clashes.alias("clashes"))
     ids = F.transform("recipe", lambda c: F.struct(c["weak"], c["size"], F.when(F.array_contains("clashes", c["weak"]), c["strong"]).otherwise(F.lit(b"")).alias("strong")))
     lists = plain.select("doc_id", "text_sha256", "n_chunks", ids.alias("ids")).withColumn("mark", F.xxhash64("ids"))
