@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, connected_components, if_small, materialise
+from .common import checked_broadcast, column, connected_components, if_small, materialise, sliced, small_batches
 from .textvec import U, mix, pieces, shingle_rows
 
 #: Sketch of token frequencies; a byte for each bucket is broadcast.
@@ -314,7 +314,7 @@ def _by_block(width: int, solve: Callable, give: Callable) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
-        for batch in batches:
+        for batch in sliced(batches, CHUNK):
             out: list[tuple] = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True):
                 if row[:2] != now:
@@ -438,7 +438,9 @@ def _round_two(shared: DataFrame, sets: DataFrame, classes: DataFrame, comps: Da
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the component), class_key: one row per document."""
+    """doc_id, n_shingles, component_id (smallest doc_id of the component), class_key, mark (hash of the text): one row per
+    document."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     features = materialise(pairs.mapInArrow(_features, FEATURES.format(id=kind)), "features")
@@ -464,18 +466,24 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     named = materialise(named, "named")
     lowest = materialise(named.groupBy("comp").agg(F.min("first_id").alias("component_id")), "lowest")
     by_class = named.join(lowest, "comp").select("key", "component_id")
-    full = rows.where("n_shingles > 0").join(by_class, "key").select("doc_id", "n_shingles", "component_id", F.hex("key").alias("class_key"))
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("class_key"))
+    full = rows.where("n_shingles > 0").join(by_class, "key").select("doc_id", "n_shingles", "component_id", F.hex("key").alias("class_key"), "mark")
+    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("class_key"), "mark")
     return full.unionByName(empty)
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The whole rows of docs whose doc_id is the smallest of its component; rows that share id and text count once.
 
-    Rows without an id stay: they can't be told apart by one.
+    Rows without an id stay: they can't be told apart by one. Columns are kept whatever their names.
     """
-    found = jaccard_components(docs, percent).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64("text")))
-    named = rows.withColumn("__again", again).where(F.col("__again") == 1).drop("__again")
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    own = [c.lower() if c.lower() in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
+    rows = docs.select(*[column(c).alias(n) for c, n in zip(docs.columns, own, strict=True)])
+    found = jaccard_components(rows.select("doc_id", "text"), percent).where("doc_id = component_id")
+    found = materialise(found.groupBy(F.col("doc_id").alias("id"), F.col("mark").alias("m")).agg(F.count("*").alias("n")), "kept")
+    met = lambda some: (F.col("doc_id") == some["id"]) & F.xxhash64("text").eqNullSafe(some["m"])
+    one, more = found.where("n = 1"), found.where("n > 1")
+    once = rows.join(one, met(one), "left_semi")
+    if not more.isEmpty():  # only rows that share id and text are ordered
+        again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
+        once = once.unionByName(rows.join(more, met(more), "left_semi").withColumn("__again", again).where("__again = 1").drop("__again"))
+    return once.unionByName(rows.where("doc_id IS NULL")).toDF(*docs.columns)
