@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast
+from .common import checked_broadcast, small_batches
 from .textvec import LOWER, U, mix, pieces
 
 BUCKETS = 1 << 15
@@ -137,6 +137,7 @@ def _predict(column: pa.Array, langs: list[str], table: np.ndarray) -> tuple[lis
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, langs, shares for each row, with models learned from docs itself."""
+    small_batches(docs.sparkSession)
     langs, log_p = learn(docs)
     held = checked_broadcast(docs.sparkSession, log_p, log_p.nbytes, "the language model")
 
@@ -152,6 +153,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The whole rows of docs whose lang_pred is not `und`; rows without any letter go."""
+    small_batches(docs.sparkSession)
     langs, log_p = learn(docs)
     held = checked_broadcast(docs.sparkSession, log_p, log_p.nbytes, "the language model")
     at = docs.columns.index("text")

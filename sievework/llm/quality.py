@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 from .language_id import held_out
 from .textvec import pieces, shingle_hashes, span_hashes, word_spans
 
@@ -167,6 +167,7 @@ def fit(vectors: DataFrame, labels: DataFrame) -> Discriminant:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     vectors = materialise(docs.select("doc_id", "text").mapInArrow(_statistics, f"doc_id {kind}, x array<double>"), "statistics")
     model = fit(vectors, labels)
