@@ -210,36 +210,91 @@ def line_rows():
     return out
 
 
+def plain_alignment(a, b):
+    """Patience diff by tables: common ends, the longest increasing run of lines unique in both (its last members as late
+    as possible), the gaps; without such lines a longest common subsequence."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in plain_alignment(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return plain_alignment(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    unique = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == b.count(x) == 1]
+    if unique:
+        best = []
+        for k, (_, j) in enumerate(unique):
+            best.append(1 + max([best[m] for m in range(k) if unique[m][1] < j], default=0))
+        chain, want, before = [], max(best), len(b)
+        for k in range(len(unique) - 1, -1, -1):
+            if best[k] == want and unique[k][1] < before:
+                chain.insert(0, unique[k])
+                want, before = want - 1, unique[k][1]
+        out, i, j = [], 0, 0
+        for k, p in [*chain, (len(a), len(b))]:
+            out += [(i + x, j + y) for x, y in plain_alignment(a[i:k], b[j:p])] + ([(k, p)] if k < len(a) else [])
+            i, j = k + 1, p + 1
+        return out
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if table[i][j] == table[i][j - 1]:
+            j -= 1
+        elif table[i][j] == table[i - 1][j]:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def plain_places(lines):
+    """Anchor (a tuple of lines) -> its places (first, end)."""
+    out = defaultdict(set)
+    size = [min(20, len(x)) for x in lines]
+    for i, x in enumerate(lines):
+        if len(x) >= 20:
+            out[x,].add((i, i + 1))
+        elif x:
+            ahead = next((j for j in range(i + 1, len(lines) + 1) if sum(size[i:j]) >= 20), None)
+            behind = next((j for j in range(i, -1, -1) if sum(size[j : i + 1]) >= 20), None)
+            out[tuple(lines[i:ahead])] |= {(i, ahead)} if ahead else set()
+            if behind is not None:
+                out[tuple(lines[behind : i + 1])].add((behind, i + 1))
+    return {k: v for k, v in out.items() if v}
+
+
 def plain_line_dedup(pairs):
-    """The same rule by loops: each document against the owners of its anchors, the rarest first."""
+    """The rule by loops over all pairs of documents."""
     order = sorted({(d if d is not None else 2**63 - 1, hashlib.sha256(t.encode()).digest()[:16], t) for d, t in pairs if t}, key=lambda x: x[:2])
-    firsts, seen = [], set()
+    first_of, texts_ = {}, []
     for d, h, t in order:
-        if h not in seen:
-            seen.add(h)
-            firsts.append((d, h, t))
-    lines = {h: [x.strip(" \t\x0b\x0c\r") for x in t.split("\n")] for _, h, t in firsts}
-    anchors = {h: {x for x, n in Counter(ls).items() if n == 1 and len(x) >= line_dedup.MIN_CHARS} for h, ls in lines.items()}
-    owner, df = {}, Counter()
-    for _, h, _ in firsts:
-        for x in anchors[h]:
-            owner.setdefault(x, h)
-            df[x] += 1
+        if h not in first_of:
+            first_of[h] = d
+            texts_.append((h, [x.strip(" \t\x0b\x0c\r") for x in t.split("\n")]))
+    places = [plain_places(lines) for _, lines in texts_]
     gone = {}
-    for _, h, _ in firsts:
-        own = lines[h]
-        code = {x: (i << 2) | (0 if not x else 2 if len(x) >= line_dedup.MIN_CHARS else 1) for i, x in enumerate(sorted({y for ls in lines.values() for y in ls}))}
-        flags = [False] * len(own)
-        partners = {}
-        for x in anchors[h]:
-            if owner[x] != h:
-                partners[owner[x]] = min(partners.get(owner[x], 10**9), df[x])
-        for p in sorted(partners, key=lambda p: partners[p]):
-            a, b = [code[x] for x in own], [code[x] for x in lines[p]]
-            for i in line_dedup.aligned_blocks(line_dedup.patience(a, b), a):
-                flags[i] = True
-        gone[h] = flags
-    first_of = {h: d for d, h, _ in firsts}
+    for k, (h, own) in enumerate(texts_):
+        settled = set()
+        for e in range(k):
+            if places[k].keys() & places[e].keys():
+                run, blocks = [], []
+                for pair in [*plain_alignment(own, texts_[e][1]), None]:
+                    if run and pair != (run[-1][0] + 1, run[-1][1] + 1):
+                        blocks.append((run[0][0], run[-1][0] + 1))
+                        run = []
+                    run.append(pair)
+                settled |= {x for x, where in places[k].items() if any(a <= i and j <= b for i, j in where for a, b in blocks)}
+        flags = [any(i <= n < j for x in settled for i, j in places[k][x]) for n in range(len(own))]
+        full = list(flags)
+        for n, x in enumerate(own):
+            if not x and any(flags):
+                before = next((flags[i] for i in range(n, -1, -1) if own[i] or flags[i]), True)
+                after = next((flags[i] for i in range(n, len(own)) if own[i] or flags[i]), True)
+                full[n] = flags[n] or before and after
+        gone[h] = full
     out = []
     for d, t in pairs:
         if not t:
@@ -250,6 +305,51 @@ def plain_line_dedup(pairs):
     return bag(out)
 
 
+def test_line_dedup_meets_all_overlapping_documents(spark):
+    """Documents that draw few lines in any order: pairs beyond each line's owner matter."""
+    x, y, z = (prose(random.Random(i), 8, 100_000) for i in range(3))
+    own = lambda i: f"a line of document {i} alone"
+    cases = [(1, [x, own(1), y]), (2, [y, own(2), x]), (3, [y, own(3), x])]
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame([(d, "\n".join(t)) for d, t in cases], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 2}
+    rng = random.Random(21)
+    pool = [prose(rng, 7, 100_000) for _ in range(12)] + [f"short {i}" for i in range(8)] + ["", "ok", "a longer short line"]
+    pairs = []
+    for i in range(120):
+        lines = rng.sample(pool, rng.randint(2, 9)) if i % 3 else [rng.choice(pool) for _ in range(rng.randint(2, 12))]
+        pairs.append((i, "\n".join(lines[: len(lines) // 2] + [own(i)] * (i % 2) + lines[len(lines) // 2 :])))
+    frame = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    assert bag((r.doc_id, r.text) for r in line_dedup.line_dedup(frame).collect()) == plain_line_dedup(pairs)
+
+
+def test_line_dedup_of_lines_beyond_the_hash_weakness(spark):
+    """Thue-Morse words, equal under polynomial hashes modulo a power of two, are different lines and different sets."""
+    signs = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = "".join("ab"[i] for i in signs), "".join("ba"[i] for i in signs)
+    frame = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {r.n_removed for r in line_dedup.line_dedup(frame).collect()} == {0}
+    assert {r.component_id for r in jaccard_join.jaccard_components(frame).collect()} == {1, 2}
+    items = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert {r.doc_id: r.n_hits for r in decontaminate.contamination(frame, items).collect()} == {1: 1, 2: 0}
+
+
+def test_clashing_column_names(spark):
+    """Columns that have the names of outputs or of inner columns."""
+    names = "__digest __found __kept __lines __again __text n_lines n_removed n_lines_in size size_in source_size target taken copies draws draws_in first_ord gone mark key comp token shard place hits block"
+    values = [(i, prose(random.Random(i % 3), 30), "s", *[f"v{i}"] * len(names.split())) for i in range(5)]
+    frame = spark.createDataFrame(values, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names.split()))
+    bench = spark.createDataFrame([(1, "no such words here at all")], "item_id long, text string")
+    out = line_dedup.line_dedup(frame)
+    assert len(set(out.columns)) == len(out.columns) == len(frame.columns) + 2 and out.count() == 5
+    for kept in (line_dedup.keep_remaining(frame), jaccard_join.keep_one_of_each(frame), decontaminate.keep_clean(frame, bench)):
+        assert kept.columns == frame.columns
+        assert all(r["__again"] == r["size_in"] == f"v{r.doc_id}" for r in kept.collect()) and kept.count() >= 3
+    mixed = mixing.mix(frame)
+    assert len(set(mixed.columns)) == len(mixed.columns) and mixed.count() == 5
+    rows_ = mixing.mixed_rows(mixed)
+    assert len(set(rows_.columns)) == len(rows_.columns) and rows_.count() == mixed.selectExpr("sum(copies)").first()[0]
+
+
 def test_line_dedup(spark):
     frame = spark.createDataFrame(line_rows(), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(frame).collect() if r.doc_id not in (30, None)}
@@ -318,6 +418,65 @@ def test_quality_on_held_out_rows(spark, sf):
     assert np.mean([a == b for a, b in held]) >= 0.95
 
 
+def plain_statistics(text):
+    """The statistics of a text, counted word by word."""
+    raw = (text or "").encode()
+    found = WORD.findall(raw)
+    if not found:
+        return [0.0] * quality.FEATURES
+    k = len(found)
+    turn = lambda a, b: math.asin(math.sqrt(min(1.0, a / max(b, 1.0))))
+    of = lambda chars: sum(raw.count(bytes([c])) for c in set(chars))
+    upper, digits, marks, signs = of(range(65, 91)), of(range(48, 58)), of(b".,;:?!'\"-"), of(b"#$%&()*+/<=>@[\\]^_`{|}~")
+    size = [len(w) for w in found]
+    low = Counter(w.lower() for w in found)
+    runs = [tuple(w.lower() for w in found[i : i + 3]) for i in range(max(1, k - 2))]
+    odd = set(b"#$%&()*+/<=>@[\\]^_`{|}~")
+    return [
+        math.log(1 + k),
+        math.log(sum(size) / k),
+        math.log(1 + float(np.std(size))),
+        turn(upper, upper + of(range(97, 123))),
+        turn(digits, sum(size)),
+        turn(marks, sum(size)),
+        turn(signs, sum(size)),
+        turn(sum(c >= 128 for c in raw), sum(size)),
+        math.log(len(low)) / math.log(k + 1),
+        turn(max(low.values()), k),
+        turn(sum(n <= 3 for n in size), k),
+        turn(sum(65 <= w[0] <= 90 for w in found), k),
+        turn(sum(w[0] in odd or w[-1] in odd for w in found), k),
+        math.log(1 + 100 * raw.count(b"\n") / k),
+        turn(len(runs) - len(set(runs)), len(runs)),
+    ]
+
+
+def test_quality_against_plain_densities(spark):
+    """Scores by textbook formulas, with a matrix inverse and determinant, from statistics counted in loops."""
+    rng = random.Random(17)
+    texts_ = [prose(rng, rng.randint(5, 120)).title() + ".\n" * (i % 4) if i % 2 else prose(rng, rng.randint(5, 120), 20) + " #$ 12" * (i % 5) for i in range(150)] + ["", None, "One"]
+    label = {i: i % 2 for i in range(150)}
+    x = np.array([plain_statistics(t) for t in texts_])
+    learned = [i for i in label if zlib.crc32(str(i).encode()) % 3 != 1]
+    center = x[learned].mean(0)
+    weight = np.array([len(WORD.findall((t or "").encode())) for t in texts_])[:, None]
+    x = center + (x - center) * (weight / (weight + quality.RELIABLE))
+    own = [x[[i for i in learned if label[i] == c]] for c in (0, 1)]
+    pooled = sum(np.cov(o.T, bias=True) * len(o) for o in own) / len(learned)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-8))
+    both = np.outer(scale, scale)
+    density = []
+    for o in own:
+        cov = (1 - quality.SHRINK_POOLED - quality.SHRINK_ROUND) * np.cov(o.T, bias=True) / both + quality.SHRINK_POOLED * pooled / both + (quality.SHRINK_ROUND * np.trace(pooled / both) / len(scale) + 1e-9) * np.eye(len(scale))
+        away = x / scale - o.mean(0) / scale
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away) - 0.5 * np.linalg.slogdet(cov)[1] + math.log(len(o)))
+    want = 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
+    frame = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, c, 0) for i, c in label.items()], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality.classify(frame, labels).collect()}
+    assert [got[i] for i in range(len(texts_))] == pytest.approx(want.tolist(), abs=1e-6)
+
+
 def test_quality_of_odd_rows(spark, docs, none):
     labels = spark.createDataFrame([(r[0], i % 2, 0) for i, r in enumerate(rows())] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(docs, labels).count() == len(rows())
@@ -349,8 +508,12 @@ def test_targets_and_quotas():
         sizes = [rng.choice([0, 1, 10, 1000]) * rng.randint(1, 9) for _ in range(rng.randint(1, 12))]
         assert mixing.targets(sizes) == pytest.approx(plain_targets(sizes))
     draws = np.array([0, 5, 100, 33, 1])
-    got = mixing.split_quotas(draws, 6, np.random.default_rng(1))
-    assert (got >= 0).all() and got.sum(1).tolist() == draws.tolist() and np.ptp(got.sum(0)) <= 1
+    for shards in (1, 6, 200):
+        got = np.zeros((5, shards), int)
+        for shard, source, quota in mixing.split_quotas(draws, shards, np.random.default_rng(1)):
+            assert (quota > 0).all()
+            got[source, shard] = quota
+        assert got.sum(1).tolist() == draws.tolist() and np.ptp(got.sum(0)) <= 1
 
 
 def test_mixing(spark, monkeypatch):
@@ -373,7 +536,35 @@ def test_mixing(spark, monkeypatch):
     assert all(abs(taken[s] - goal[s]) <= 60 for s in goal)
     shard = Counter(d.shard for r in got for d in r.draws)
     assert sorted(shard) == [0, 1, 2, 3, 4]
-    assert mixing.mixed_rows(mixed).count() == sum(r.copies for r in got)
+    rows_ = mixing.mixed_rows(mixed).collect()
+    assert bag((r.doc_id, r.shard, r.place) for r in rows_) == bag((r.doc_id, d.shard, d.place) for r in got for d in r.draws)
+    assert [(r.shard, r.place) for r in rows_] == sorted((r.shard, r.place) for r in rows_)
+
+
+def test_shards_draw_their_quotas(spark, monkeypatch):
+    """Draws by shard and source are the tree's quotas, disjoint within a pass, and make up what is taken."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 200)
+    rng = random.Random(13)
+    pairs = [(i, prose(rng, rng.randint(1, 40)), rng.choice("aaab") if i % 7 else None) for i in range(1200)]
+    frame = spark.createDataFrame(pairs, "doc_id long, text string, source string")
+    given = []
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: given.extend(split(*a)) or given)
+    sized = mixing._sized(frame)
+    sources, plan = mixing._plan(sized.selectExpr("source", "__size AS size", "__hash AS hash"), 7)
+    want = Counter({(int(i), shard): int(q) for shard, source, quota in given for i, q in zip(source, quota, strict=True)})
+    drawn = [(r.number, r.block, d) for r in plan.collect() for d in r.drawn]
+    assert Counter((n, d.shard) for n, _, d in drawn) == want
+    assert max(Counter((n, b, d["pass"]) for n, b, d in drawn).values()) == 1
+    assert sum(d.part for *_, d in drawn) <= sources.count()
+    number = {r.source: r for r in sources.collect()}
+    blocks = {(n, b): [d for m, c, d in drawn if (m, c) == (n, b)] for n, b, _ in drawn}
+    monkeypatch.setattr(mixing, "split_quotas", split)
+    for r in mixing.mix(frame, 7).join(sized.select("doc_id", "__hash"), "doc_id").collect():
+        own = number[r.source]
+        assert {d.shard for d in r.draws} <= {d.shard for d in blocks.get((own.number, r["__hash"] % own.blocks), [])}
+        whole = sum(not d.part for d in blocks.get((own.number, r["__hash"] % own.blocks), []))
+        assert whole <= r.copies <= whole + 1
 
 
 def test_mixing_of_odd_rows(docs, none):
@@ -393,6 +584,52 @@ def test_language_on_held_out_rows(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 and 0 <= r.score <= 1 for r in held)
 
 
+def plain_shares(text, tables, total):
+    """Shares by expectation-maximisation over the text's trigrams, gram by gram, for the set of the best penalised likelihood
+    that leaving out the weakest language reaches."""
+    low = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    letter = [97 <= b <= 122 or b >= 128 for b in low]
+    low = [b if ok else 32 for b, ok in zip(low, letter, strict=True)]
+    grams = [tuple(low[i - 1 : i + 2]) for i in range(1, len(low) - 1) if letter[i]]
+    p = {lang: [(t[g] + language_id.SMOOTH) / (total[lang] + language_id.SMOOTH * language_id.BUCKETS) for g in grams] for lang, t in tables.items()}
+
+    def fit(langs):
+        share = dict.fromkeys(langs, 1 / len(langs))
+        for _ in range(language_id.EM_ROUNDS if len(langs) > 1 else 0):
+            mass = [sum(share[x] * p[x][i] for x in langs) for i in range(len(grams))]
+            share = {x: share[x] * sum(p[x][i] / mass[i] for i in range(len(grams))) / len(grams) for x in langs}
+        return share, sum(math.log(sum(share[x] * p[x][i] for x in langs)) for i in range(len(grams)))
+
+    share, like = fit(sorted(tables))
+    while len(share) > 1:
+        fewer, other = fit([x for x in share if x != min(share, key=share.get)])
+        if other < like - 0.5 * math.log(max(len(grams), 2)):
+            break
+        share, like = fewer, other
+    return {x: v / sum(share.values()) for x, v in share.items()}
+
+
+def test_language_against_plain_mixtures(spark):
+    rng = random.Random(19)
+    letters = {"aa": "abc ", "bb": "cde ", "cc": "efg "}
+    write = lambda lang, n: "".join(rng.choice(letters[lang]) for _ in range(n))
+    values = [(i, write(lang, rng.randint(20, 200)), lang) for i in range(60) for lang in [rng.choice(list(letters))]]
+    values += [(100, write("aa", 150) + write("cc", 90), None), (101, "abc", None)]
+    tables, total = defaultdict(Counter), Counter()
+    for d, text, lang in values:
+        if lang and zlib.crc32(str(d).encode()) % 3 != 1:
+            padded = [b if 97 <= b <= 122 else 32 for b in text.encode()]
+            for i in range(1, len(padded) - 1):
+                if padded[i] != 32:
+                    tables[lang][tuple(padded[i - 1 : i + 2])] += 1
+                    total[lang] += 1
+    frame = spark.createDataFrame(values, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: dict(zip(r.langs, r.shares, strict=True)) for r in language_id.identify(frame).collect()}
+    for d, text, _ in values:
+        assert got[d] == pytest.approx(plain_shares(text, tables, total), abs=1e-4), d
+    assert set(got[100]) == {"aa", "cc"}
+
+
 def test_language_mixture(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     en, fr = (next(r.text for r in docs.where(f"lang = '{x}' AND n_chars > 3000").limit(1).collect()) for x in ("en", "fr"))
@@ -429,18 +666,32 @@ def test_token_counts_and_cache(spark, docs, none, tmp_path, name):
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(str(path))
-        model.encode_special_tokens = True
         count = lambda t: len(model.encode(t, add_special_tokens=False).ids)
     want = bag((r[0], len((r[1] or "").encode()), n := count(r[1] or ""), n > 4096) for r in rows())
     cache = str(tmp_path / "cache")
     for _ in range(2):
         got = token_counts.count_tokens(docs, path, cache).collect()
         assert bag((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
+    special = spark.createDataFrame([(1, "a <|endoftext|> b <s> </s> <unk> [PAD]")], "doc_id long, text string")
+    assert token_counts.count_tokens(special, path).first().n_tokens == count("a <|endoftext|> b <s> </s> <unk> [PAD]")
     stored = spark.read.parquet(cache)
     assert stored.count() == stored.select("digest").distinct().count() == len({r[1] or "" for r in rows()})
     assert token_counts.count_tokens(none, path).count() == 0
 
 
+def test_token_cache_is_found_again(spark, monkeypatch):
+    """Without a folder of its own the cache lies in the shared one: a second call encodes only what is new."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    folder = f"{common.shared_dir(spark)}/{token_counts.CACHE}"
+    frame = spark.createDataFrame([(i, f"words of text {i} for the cache") for i in range(5)], "doc_id long, text string")
+    first = token_counts.count_tokens(frame, path).collect()
+    rows_of = lambda: spark.read.parquet(folder).count()
+    before = rows_of()
+    assert bag(token_counts.count_tokens(frame, path).collect()) == bag(first) and rows_of() == before
+    more = frame.unionByName(spark.createDataFrame([(9, "one more text for the cache")], "doc_id long, text string"))
+    assert token_counts.count_tokens(more, path).count() == 6 and rows_of() == before + 1
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -519,6 +770,41 @@ def test_suffix_array():
 # --- 9 ------------------------------------------------------------------------------------------------------------------
 
 
+def plain_hit(item, text):
+    """THRESHOLD of the item's shingles, half the distinct words of its question and of its answer (five at least each)."""
+    w, t = words(item), set(words(text))
+    if not w:
+        return False
+    need = shingles(item, min(5, len(w)))
+    body = item.rstrip()
+    split = len(words(body[: body.rindex("\n")])) if "\n" in body else len(w)
+    question, answer = set(w[: max(split, 5)]), set(w[min(split, max(0, len(w) - 5)) :]) if "\n" in body else set()
+    near = len(need & shingles(text, len(next(iter(need))))) >= 0.8 * len(need)
+    return near and all(not part or len(part & t) >= len(part) / 2 for part in (question, answer))
+
+
+def test_decontamination_verifies_question_and_answer(spark):
+    rng = random.Random(31)
+    word = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    question, answer = word(60), word(6)
+    long = word(70)
+    items = [(7, " ".join(question) + "\n" + " ".join(answer)), (7, " ".join(long)), (None, " ".join(word(20))), (None, " ".join(word(20)))]
+    texts_ = [
+        " ".join(question + answer),
+        " ".join(question + word(6)),  # another answer
+        " ".join(question + answer[:3] + word(3)),
+        " ".join(question + answer + word(10) + long),
+        items[2][1] + " " + items[3][1],
+        " ".join(word(500) + long[:35] + word(30) + long[35:] + word(100)),  # words inserted in the middle
+        " ".join(word(7)),
+    ]
+    texts_ += [" ".join(word(k) + question[:33] + word(30) + question[33:] + answer + word(80)) for k in range(0, 140, 9)]
+    frame = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    found = {r.doc_id: [h.item_id for h in r.hits] for r in decontaminate.contamination(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {d: [i for i, item in sorted(items, key=lambda x: (x[0] is not None, x)) if plain_hit(item, t)] for d, t in enumerate(texts_)}
+    assert found[1] == [] and found[3] == [7, 7] and found[4] == [None, None] and found[5] == [7] and all(found[k] == [7] for k in range(7, len(texts_)))
+
+
 def test_decontamination(spark, monkeypatch, docs, none):
     rng = random.Random(12)
     items = [(i, "\n".join(prose(rng, n, 500) for n in parts)) for i, parts in enumerate([(30,), (20, 12), (6,), (3,), (40, 2), (9, 9, 9)] * 4)]
@@ -534,16 +820,13 @@ def test_decontamination(spark, monkeypatch, docs, none):
     pairs = list(enumerate(texts_)) + [(500, None), (501, ""), (None, texts_[-1]), (3, texts_[3])]
     want = []
     for d, t in pairs:
-        own = set()
-        for i, item in items:
-            need = shingles(item, min(5, len(words(item)))) if words(item) else set()
-            if need and len(need & shingles(t, len(next(iter(need))))) >= 0.8 * len(need):
-                own.add(i)
+        own = [i for i, item in items if plain_hit(item, t)]
         want.append((d, tuple(sorted(own, key=lambda x: (x is None, x)))))
     frame = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for most in (1024, 7):  # one group of items, several
-        monkeypatch.setattr(decontaminate, "ITEMS", most)
+    for most in (1 << 20, 20_000):  # one group of items, several
+        monkeypatch.setattr(decontaminate, "INDEX_BYTES", most)
+        assert (len(list(decontaminate.indexes(bench))) > 1) == (most == 20_000)
         found = decontaminate.contamination(frame, bench).collect()
         got = bag((r.doc_id, tuple(sorted((h.item_id for h in r.hits), key=lambda x: (x is None, x)))) for r in found)
         assert got == bag(want)
