@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,21 @@ def burst_groups(rows: DataFrame, p: Params = DEFAULT, moment: str = "moment_id"
     return out.withColumn("burst_pos", F.row_number().over(first)).withColumn("burst_size", F.count("*").over(inside)).drop("__timed", "__seq")
 
 
+def timed_bursts(rows: DataFrame, time: str, tie: str, p: Params = DEFAULT) -> DataFrame:
+    """rows with a time: moment_id, and burst, burst_pos and burst_size as burst_groups() gives them in moments.
+
+    A gap over the moments' is over the bursts' too, so bursts are sessions of all rows by their own gap, numbered from
+    the moment's first on: no task sorts a whole moment, only a burst.
+    """
+    columns = ["moment_id", "moment_label", "moment_start", "moment_end"]
+    short = moments(rows, time, tie, replace(p, moment_gap_minutes=p.burst_gap_minutes)).withColumn("__burst", F.col("moment_id")).drop(*columns)
+    numbered = moments(short, time, tie, p)
+    first = numbered.groupBy("moment_id").agg(F.min("__burst").alias("__first"))
+    inside = Window.partitionBy("__burst")
+    out = numbered.join(first, "moment_id").withColumn("burst", (F.col("__burst") - F.col("__first") + 1).cast("int"))
+    return out.withColumns({"burst_pos": F.row_number().over(inside.orderBy(time, tie)), "burst_size": F.count("*").over(inside)}).drop("__burst", "__first")
+
+
 def burst_keepers(rows: DataFrame, group: list[str], kind: str = "primary_shot_type", score: str = "blur_score", second: str = "max_smile_score", pos: str = "burst_pos", p: Params = DEFAULT) -> DataFrame:
     """rows with keep_order, kept and burst_pos_rank (kept ones from 1 by place, the others from burst_keep + 1).
 

@@ -299,6 +299,15 @@ def burst_time_groups(spark, sf_dir):
     return bursts(spark, sf_dir).select("event_id", "burst", "burst_pos", "burst_size")
 
 
+@query(f"""WITH {MOMENT_SQL},
+bf AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY moment_id ORDER BY ts, event_id) > INTERVAL 2 MINUTE THEN 1 ELSE 0 END AS split FROM g),
+b AS (SELECT *, CAST(1 + sum(split) OVER (PARTITION BY moment_id ORDER BY ts, event_id) AS INTEGER) AS burst FROM bf)
+SELECT event_id, moment_id, burst, CAST(row_number() OVER (PARTITION BY moment_id, burst ORDER BY ts, event_id) AS INTEGER) AS burst_pos, count(*) OVER (PARTITION BY moment_id, burst) AS burst_size FROM b""")
+def burst_moments(spark, sf_dir):
+    rows = sessions.timed_bursts(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", "event_id")
+    return rows.select("event_id", "moment_id", "burst", "burst_pos", "burst_size")
+
+
 @query("""WITH c AS (SELECT c_custkey, c_mktsegment, c_nationkey, CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT) AS seq FROM customer),
 f AS (SELECT *, lag(seq) OVER (PARTITION BY c_nationkey ORDER BY seq, c_custkey) AS before FROM c),
 g AS (SELECT *, CASE WHEN before IS NOT NULL AND (seq < 0 OR before < 0 OR seq - before > 5) THEN 1 ELSE 0 END AS split FROM f)
