@@ -32,7 +32,7 @@ from .textvec import SHINGLE, pieces, shingle_hashes, span_hashes, text_bytes, w
 
 K1, B = 1.2, 0.75
 THRESHOLD, PART = 0.8, 0.5
-BLOCK = 16
+BLOCK = 4
 #: Bytes of a group's index by estimate, WORD_BYTES for each word of its items; the broadcast bound holds for what it has.
 INDEX_BYTES, WORD_BYTES = 32 << 20, 96
 #: Segments of a passage, and sums of impacts that are held at a time.
