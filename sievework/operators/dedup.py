@@ -41,16 +41,18 @@ def members(rows: DataFrame, folder: str = "folder") -> DataFrame:
     return rows.join(first, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & F.col(folder).eqNullSafe(F.col("f"))).select("ord", "first")
 
 
-#: Bands that a hash is cut in: about 21 bits each, so that unlike hashes seldom meet.
-BANDS = 3
+def band_count(limit: int) -> int:
+    """Bands that a hash is cut in: one more than half the distance, so one band has one difference at most."""
+    return limit // 2 + 1
 
 
 def _near(rows: DataFrame, limit: int, folder: str, inside: bool) -> DataFrame:
     """a, b, distance (a < b) of rows within the limit, in one folder or in different ones; each pair once."""
     names = ["ord", "hi", "lo", folder]
-    most = limit // BANDS
-    cuts = vectors.band_cuts(BANDS)
-    own = vectors.bands(F.col("hi"), F.col("lo"), BANDS)
+    count = band_count(limit)
+    most = limit // count
+    cuts = vectors.band_cuts(count)
+    own = vectors.bands(F.col("hi"), F.col("lo"), count)
     exact = F.array(*[F.struct(F.lit(i).alias("k"), v.alias("v")) for i, v in enumerate(own)])
 
     def around(i: int) -> Column:
@@ -61,14 +63,14 @@ def _near(rows: DataFrame, limit: int, folder: str, inside: bool) -> DataFrame:
         exploded = rows.withColumn("__band", F.explode(values))
         return exploded.select(*[F.col(c).alias(f"{c}_{tag}") for c in names], "__band.k", "__band.v", *([F.col(folder).alias("f")] if inside else []))
 
-    found = side(exact, "a").join(side(F.concat(*map(around, range(BANDS))), "b"), ["k", "v", "f"] if inside else ["k", "v"]).where("ord_a < ord_b")
+    found = side(exact, "a").join(side(F.concat(*map(around, range(count))), "b"), ["k", "v", "f"] if inside else ["k", "v"]).where("ord_a < ord_b")
     if not inside:
         found = found.where(~F.col(f"{folder}_a").eqNullSafe(F.col(f"{folder}_b")) | F.col(f"{folder}_a").isNull())
     distance = vectors.hamming(F.col("hi_a"), F.col("lo_a"), F.col("hi_b"), F.col("lo_b"))
     # the first band that is near enough gives the pair
-    differ = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(*(vectors.bands(F.col(f"hi_{t}"), F.col(f"lo_{t}"), BANDS) for t in "ab"), strict=True)]
+    differ = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(*(vectors.bands(F.col(f"hi_{t}"), F.col(f"lo_{t}"), count) for t in "ab"), strict=True)]
     before = F.lit(True)
-    for i in range(BANDS - 1):
+    for i in range(count - 1):
         before = before & ((F.col("k") <= i) | (differ[i] > most))
     found = found.withColumn("distance", distance.cast("int")).where((F.col("distance") <= limit) & before)
     return found.select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), "distance")
@@ -78,8 +80,7 @@ def hamming_pairs(rows: DataFrame, same: int, cross: int | None = None, folder:
     """a, b, distance of rows (ord, hi, lo, folder): within `same` in one folder, within `cross` across folders (a missing
     folder is like none).
 
-    Of BANDS bands of bits, hashes within distance d have one with d // BANDS differences at most (pigeonhole). So one
-    side gives its bands, the other each of its bands with up to that many bits flipped, the pairs come from an equi-join
+    Of n bands of bits, hashes within distance d have one with d // n differences at most (pigeonhole). So one side gives its bands, the other each of its bands with up to that many bits flipped, the pairs come from an equi-join
     on wide bands, within a folder also on the folder, and are verified on all 64 bits. Give it representatives() where
     many rows have one hash.
     """
