@@ -9,6 +9,7 @@ from ..functions import vectors
 from ..params import DEFAULT, Params
 from ..sources.scratch import stage
 from .components import connected_components
+from .near import near_pairs
 
 ID_BLOCK = 1 << 33
 
@@ -46,47 +47,17 @@ def band_count(limit: int) -> int:
     return limit // 2 + 1
 
 
-def _near(rows: DataFrame, limit: int, folder: str, inside: bool) -> DataFrame:
-    """a, b, distance (a < b) of rows within the limit, in one folder or in different ones; each pair once."""
-    names = ["ord", "hi", "lo", folder]
-    count = band_count(limit)
-    most = limit // count
-    cuts = vectors.band_cuts(count)
-    own = vectors.bands(F.col("hi"), F.col("lo"), count)
-    exact = F.array(*[F.struct(F.lit(i).alias("k"), v.alias("v")) for i, v in enumerate(own)])
-
-    def around(i: int) -> Column:
-        masks = F.array(*[F.lit(x).cast("long") for x in vectors.flips(cuts[i + 1] - cuts[i], most)])
-        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("k"), own[i].bitwiseXOR(m).alias("v")))
-
-    def side(values: Column, tag: str) -> DataFrame:
-        exploded = rows.withColumn("__band", F.explode(values))
-        return exploded.select(*[F.col(c).alias(f"{c}_{tag}") for c in names], "__band.k", "__band.v", *([F.col(folder).alias("f")] if inside else []))
-
-    found = side(exact, "a").join(side(F.concat(*map(around, range(count))), "b"), ["k", "v", "f"] if inside else ["k", "v"]).where("ord_a < ord_b")
-    if not inside:
-        found = found.where(~F.col(f"{folder}_a").eqNullSafe(F.col(f"{folder}_b")) | F.col(f"{folder}_a").isNull())
-    distance = vectors.hamming(F.col("hi_a"), F.col("lo_a"), F.col("hi_b"), F.col("lo_b"))
-    # the first band that is near enough gives the pair
-    differ = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(*(vectors.bands(F.col(f"hi_{t}"), F.col(f"lo_{t}"), count) for t in "ab"), strict=True)]
-    before = F.lit(True)
-    for i in range(count - 1):
-        before = before & ((F.col("k") <= i) | (differ[i] > most))
-    found = found.withColumn("distance", distance.cast("int")).where((F.col("distance") <= limit) & before)
-    return found.select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), "distance")
-
-
 def hamming_pairs(rows: DataFrame, same: int, cross: int | None = None, folder: str = "folder") -> DataFrame:
     """a, b, distance of rows (ord, hi, lo, folder): within `same` in one folder, within `cross` across folders (a missing
     folder is like none).
 
-    Of n bands of bits, hashes within distance d have one with d // n differences at most (pigeonhole). So one side gives its bands, the other each of its bands with up to that many bits flipped, the pairs come from an equi-join
-    on wide bands, within a folder also on the folder, and are verified on all 64 bits. Give it representatives() where
-    many rows have one hash.
+    Each row goes packed to limit + 1 cells, of one band each (near.py); the pairs are made in the task of a cell and never
+    shuffled. Equal hashes are compared once; their pairs are all in the result, so give it representatives() where many
+    rows have one hash and these are not wanted.
     """
-    rows = stage(rows.select("ord", "hi", "lo", folder), "hashes")  # both sides read it
-    out = _near(rows, same, folder, True)
-    return out if cross is None else out.unionByName(_near(rows, cross, folder, False))
+    rows = stage(rows.select(F.col("ord").cast("long"), F.col("hi").cast("long"), F.col("lo").cast("long"), F.col(folder).cast("string").alias("folder")).where("ord IS NOT NULL AND hi IS NOT NULL AND lo IS NOT NULL"), "hashes")
+    # the bands that have one with one difference at most, in halves: one half has none
+    return near_pairs(rows, same, cross, 2 * band_count(max(same, -1 if cross is None else cross) + 1))
 
 
 def hamming_links(rows: DataFrame, same: int, cross: int | None = None, folder: str = "folder") -> DataFrame:

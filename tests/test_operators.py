@@ -354,3 +354,76 @@ def test_moments_by_time_or_folder(spark):
     assert got == {0: (10001, "day_one"), 1: (1, "moment_01"), 2: (None, "unknown"), 3: (10002, "z"), 4: (10001, "day_one")}
     got = {r.ord: r.moment_label for r in sessions.with_moments(frame, replace(DEFAULT, folder_fallback=False)).collect()}
     assert got == {0: "unknown", 1: "moment_01", 2: "unknown", 3: "unknown", 4: "unknown"}
+
+
+def near_copies(rng, n, flips):
+    """ord, hi, lo, folder of n rows: copies and near copies of a few hashes, some without a folder."""
+    bases = [rng.getrandbits(64) for _ in range(6)]
+    hashes = []
+    for _ in range(n):
+        h = rng.choice(bases)
+        for bit in rng.sample(range(64), rng.choice(flips)):
+            h ^= 1 << bit
+        hashes.append(h if rng.random() < 0.7 or not hashes else rng.choice(hashes))
+    return [(i, h >> 32, h & 0xFFFFFFFF, rng.choice(["a", "b", "c", None])) for i, h in enumerate(hashes)]
+
+
+def near_rows(rows, same, cross):
+    distance = lambda x, y: (x[1] ^ y[1]).bit_count() + (x[2] ^ y[2]).bit_count()
+    limit = lambda x, y: same if x[3] is not None and x[3] == y[3] else -1 if cross is None else cross
+    return sorted((x[0], y[0], distance(x, y)) for i, x in enumerate(rows) for y in rows[i + 1 :] if distance(x, y) <= limit(x, y))
+
+
+def test_hamming_cells_against_all_pairs(monkeypatch):
+    """In groups and without, in one block or several, packed in parts: each pair is found once."""
+    import pyarrow as pa
+
+    from sievework.functions import vectors as v
+    from sievework.operators import near
+
+    rng = random.Random(11)
+    monkeypatch.setattr(near, "PACK_ROWS", 150)
+    monkeypatch.setattr(near, "BLOB_ROWS", 7)
+    monkeypatch.setattr(near, "OUT_ROWS", 50)
+    rows = near_copies(rng, 400, [0, 1, 2, 4, 5])
+    schema = pa.schema([("ord", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("folder", pa.string())])
+    given = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 90], strict=True), schema.types, strict=True)], schema=schema) for at in range(0, 400, 90)]
+    for few, many, (same, cross) in ((0, 1, (8, 4)), (20, 60, (8, 4)), (2000, 400, (8, 3)), (0, 40, (8, None)), (0, 1, (0, None)), (0, 30, (3, 5)), (5, 50, (4, 0))):
+        monkeypatch.setattr(near, "FEW", few)
+        limit = max(same, cross or 0)
+        cuts = v.band_cuts(2 * dedup.band_count(limit + 1))
+        sizes = {}
+        for batch in near._counter(cuts, limit, cross is None, 1)(iter(given)):
+            for r in batch.to_pylist():
+                key = r["band"], r["value"], r["name"]
+                sizes[key] = sizes.get(key, 0) + r["n"]
+        assert sum(sizes.values()) == (limit + 1) * (len(rows) if cross is not None else sum(r[3] is not None for r in rows))
+        blocks = {key: -(-n // many) for key, n in sizes.items() if 1 < many < n}
+        packs = [r for batch in near._packer(cuts, limit, cross is None, blocks)(iter(given)) for r in batch.to_pylist()]
+        packs.sort(key=lambda r: tuple(r[c] or 0 if c != "name" else r[c] or "" for c in near.KEY))
+        packed = pa.RecordBatch.from_pylist(packs)
+        got = [tuple(r.values()) for batch in near._joiner(cuts, same, cross)(iter([packed.slice(0, 30), packed.slice(30)])) for r in batch.to_pylist()]
+        assert sorted(got) == near_rows(rows, same, cross), (few, many, same, cross)
+
+
+def test_hamming_join_writes_little(spark, monkeypatch):
+    """The join shuffled 137 rows for each row, over 1 KB; packed cells take a few bytes each. Large cells are cut in blocks."""
+    from sievework.operators import near
+
+    rng = random.Random(12)
+    rows = near_copies(rng, 1500, [1, 2, 2, 4])
+    frame = spark.createDataFrame(rows, "ord long, hi long, lo long, folder string").repartition(2)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jvm = spark.sparkContext._jvm
+    written = lambda: sum(stages.apply(i).shuffleWriteBytes() for stages in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())] for i in range(stages.size()))
+    monkeypatch.setattr(near, "CELL_ROWS", 200_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written()
+        got = sorted(tuple(r) for r in dedup.hamming_pairs(frame, 8, 3).collect())
+        assert 0 < written() - before < 600 * len(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == near_rows(rows, 8, 3)
+    monkeypatch.setattr(near, "CELL_ROWS", 100)
+    assert sorted(tuple(r) for r in dedup.hamming_pairs(frame, 8, 3).collect()) == got
